@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from phonoscope.llm import exact_dedup, mixing
+from phonoscope.llm import exact_dedup, mixing, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op4_simhash": simhash.op4_simhash,
     "op5_mixing": mixing.op5_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
