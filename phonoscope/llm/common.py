@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,11 +56,31 @@ def small(table: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
 
 
+def with_rid(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (struct of all input columns), text (null as empty) and rid, a long that names the row and orders as the id does.
+
+    That is the id itself where ids are whole numbers, present and distinct; else rows are put in order of id (null
+    first) and text, numbered, and written.
+    """
+    plain = docs.select(row_of(docs).alias("row"), F.col(f"`{id_col}`").alias("rid"), text_of(text_col).alias("text"))
+    if plain.schema["rid"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        n, ids, distinct = plain.agg(F.count("*"), F.count("rid"), F.count_distinct("rid")).first()
+        if n == ids == distinct:
+            return plain.withColumn("rid", F.col("rid").cast("long"))
+    ordered = plain.repartitionByRange(F.col("rid").asc_nulls_first(), "text").sortWithinPartitions(F.col("rid").asc_nulls_first(), "text")
+    return materialize(ordered.withColumn("rid", F.monotonically_increasing_id()))
+
+
 def text_of(column: str) -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
+def vectorized(function: Callable, schema: str) -> Callable[..., Column]:
+    """A function of pandas series as a function of columns; made when called, so modules load without a session."""
+    return lambda *columns: F.pandas_udf(function, schema)(*columns)
+
+
 def row_of(docs: DataFrame) -> Column:
     """All columns of docs in one struct, so that no column added beside it can clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
