@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from phonoscope.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, simhash, suffix_dedup, token_counts, toxicity
+from phonoscope.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, passage_dedup, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_language_id": language_id.op2_language_id,
+    "op3_passage_dedup": passage_dedup.op3_passage_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op5_mixing": mixing.op5_mixing,
     "op6_decontaminate": decontaminate.op6_decontaminate,
