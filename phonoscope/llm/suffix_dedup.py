@@ -27,7 +27,7 @@ LENGTH, GRAM, DIGIT = 100, 24, 50
 #: An anchor with more distinct runs than this is sorted by passes over the cluster.
 CROWD = 64
 #: Bytes that are scanned for anchors at once.
-SLICE = 1 << 21
+SLICE = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
