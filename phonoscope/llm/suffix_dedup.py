@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phonoscope.llm.common import BROADCAST_BYTES, materialize, small, vectorized, with_rid
@@ -26,6 +26,8 @@ from phonoscope.llm.common import BROADCAST_BYTES, materialize, small, vectorize
 LENGTH, GRAM, DIGIT = 100, 24, 50
 #: An anchor with more distinct runs than this is sorted by passes over the cluster.
 CROWD = 64
+#: An anchor with more occurrences than HOT, or their share of HOTTEST, whichever is more, is not gathered in one task.
+HOT, HOTTEST = 10000, 1000
 #: Bytes that are scanned for anchors at once.
 SLICE = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -164,18 +166,17 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     found = materialize(texts.where(F.octet_length("text") >= LENGTH).select("rid", _runs("text").alias("f")).select("rid", "f.*"))
     found = found.select("rid", F.inline(F.arrays_zip("a", "r", "s", "c")))
     # First digit: anchors that occur once leave.
-    again = found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    alive = materialize(found.join(small(materialize(again), 16), "a"))
-    # Second digit: of equal runs the first is kept for later passes, all others repeat it as a whole.
-    strings = alive.groupBy("a", "r").agg(F.min(F.struct("rid", "s", "c")).alias("f")).select("a", "f.*")
-    strings = materialize(strings)
-    whole = alive.select("rid", "s", "c").join(small(strings.select("rid", "s"), 24), ["rid", "s"], "left_anti")
-    whole = whole.select("rid", F.col("s").alias("b"), (F.col("s") + F.shiftright("c", 8) + LENGTH - 1).alias("e"))
+    again = materialize(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"))
+    limit = max(HOT, (again.agg(F.sum("n")).first()[0] or 0) // HOTTEST)
+    hot = F.broadcast(again.where(F.col("n") > limit).select("a"))  # HOTTEST anchors at most
+    alive = materialize(_second_digit(found.join(hot, "a", "left_anti").join(again.select("a"), "a")))
+    hot_alive = materialize(_second_digit_over_cluster(found.join(hot, "a")))
+    alive = alive.unionByName(hot_alive)
+    # Of equal runs the first goes on; all others repeat it as a whole.
+    whole = alive.where(~F.col("first")).select("rid", F.col("s").alias("b"), (F.col("s") + F.shiftright("c", 8) + LENGTH - 1).alias("e"))
     # Distinct runs that share an anchor go on, with their bytes.
-    contested = strings.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
-    contested = strings.join(small(materialize(contested), 24), "a").groupBy("rid").agg(F.collect_list(F.struct("a", "m", "s", "c")).alias("own"))
-    contested = materialize(contested)
-    cut = texts.join(_bounded(contested, "own", 32), "rid").select("rid", F.inline(F.arrays_zip("own", _cut("text", "own").alias("data"))))
+    contested = alive.where(F.col("first") & (F.col("m") > 1)).groupBy("rid").agg(F.collect_list(F.struct("a", "m", "s", "c")).alias("own"))
+    cut = texts.join(contested, "rid").select("rid", F.inline(F.arrays_zip("own", _cut("text", "own").alias("data"))))
     cut = materialize(cut.select("rid", "own.a", "own.m", "own.s", F.col("own.c").bitwiseAND(255).alias("o"), "data"))
     few = cut.where(F.col("m") <= CROWD).groupBy("a").agg(F.collect_list(F.struct("rid", "s", "o", "data")).alias("g"))
     few = few.select(F.inline(_sorted_here("g"))).select("rid", "b", "e")
@@ -183,6 +184,23 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return materialize(spans.groupBy("rid").agg(F.collect_list(F.struct("b", "e")).alias("all")).select("rid", _joined_up("all").alias("spans")))
 
 
+def _second_digit(rows: DataFrame) -> DataFrame:
+    """rows with first (whether no equal run is before) and m (distinct runs with the anchor), for anchors of bounded occurrence."""
+    equal = Window.partitionBy("a", "r").orderBy("rid", "s")
+    rows = rows.withColumn("first", F.row_number().over(equal) == 1)
+    return rows.withColumn("m", F.sum(F.col("first").cast("long")).over(Window.partitionBy("a"))).select("a", "rid", "s", "c", "first", "m")
+
+
+def _second_digit_over_cluster(rows: DataFrame) -> DataFrame:
+    """The same for anchors that are too frequent for one task: firsts and counts are combined before the shuffle."""
+    rows = materialize(rows)
+    firsts = materialize(rows.groupBy("a", "r").agg(F.min(F.struct("rid", "s")).alias("f")).select("a", "f.rid", "f.s"))
+    many = F.broadcast(firsts.groupBy("a").agg(F.count("*").alias("m")))  # HOTTEST rows at most
+    known = firsts.select("rid", "s", F.lit(True).alias("first"))
+    marked = rows.join(known, ["rid", "s"], "left").withColumn("first", F.coalesce("first", F.lit(False)))
+    return marked.join(many, "a").select("a", "rid", "s", "c", "first", "m")
+
+
 def _sorted_over_cluster(cut: DataFrame) -> DataFrame:
     """Windows of runs that share a crowded anchor: pass after pass by DIGIT more bytes, groups of one leaving."""
     place = F.explode(F.sequence(F.lit(0), F.octet_length("data") - LENGTH))
