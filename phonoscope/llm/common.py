@@ -77,8 +77,11 @@ def text_of(column: str) -> Column:
 
 
 def vectorized(function: Callable, schema: str) -> Callable[..., Column]:
-    """A function of pandas series as a function of columns; made when called, so modules load without a session."""
-    return lambda *columns: F.pandas_udf(function, schema)(*columns)
+    """A function of pandas series as a function of columns; made when called, so modules load without a session.
+
+    It is marked as not deterministic, so that a filter on its result doesn't have it run twice.
+    """
+    return lambda *columns: F.pandas_udf(function, schema).asNondeterministic()(*columns)
 
 
 def row_of(docs: DataFrame) -> Column:
