@@ -30,6 +30,8 @@ SEED = 42
 CHUNK = 1 << 15
 #: A bucket with more fingerprints than this is linked by shared midpoints instead of pairs.
 CROWD = 48
+#: What a probe costs besides its rows, in rows: it is an expression in the plan.
+PROBE = 2000
 #: Texts handed to Python at once.
 BATCH = 256
 
@@ -125,9 +127,11 @@ def probes(fps: DataFrame, distance: int) -> list[tuple[int, int, list[int]]]:
     same = np.clip(share**2 + (1 - share) ** 2, 1e-9, 1)
     plans = {m: partition_bits(n, both, m) for m in range(1, distance + 2)}
     keys = [(m, i, _mask(bits)) for m, groups in plans.items() for i, bits in enumerate(groups) if m > 1]
-    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(mask)).alias("v")) for k, (_, _, mask) in enumerate(keys)]))
-    crowd = fps.select(sides.alias("s")).groupBy("s.k", "s.v").agg(F.count("*").cast("double").alias("c")).groupBy("k").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("pairs"))
-    measured = {keys[k][:2]: pairs for k, pairs in crowd.collect()}  # a few rows
+    measured: dict[tuple[int, int], float] = {}
+    if keys:
+        sides = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(mask)).alias("v")) for k, (_, _, mask) in enumerate(keys)]))
+        crowd = fps.select(sides.alias("s")).groupBy("s.k", "s.v").agg(F.count("*").cast("double").alias("c")).groupBy("k").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("pairs"))
+        measured = {keys[k][:2]: pairs for k, pairs in crowd.collect()}  # a few rows
     best: tuple[float, int, list[int]] = (float("inf"), 1, [distance])
     for m, groups in plans.items():
         costs = []
@@ -138,7 +142,7 @@ def probes(fps: DataFrame, distance: int) -> list[tuple[int, int, list[int]]]:
                 if t:
                     flips += float(_choose(len(bits), t))
                     reach += odds**t / _factorial(t)
-                options[t] = n * flips + pairs * reach / 8
+                options[t] = (n + PROBE) * flips + pairs * reach / 8
             costs.append(options)
         cost, chosen = allocate(costs, distance - m + 1)
         if cost < best[0]:
@@ -173,7 +177,7 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
 def _by_midpoints(fps: DataFrame, distance: int) -> DataFrame:
     if distance < 2:  # at one bit the neighbours themselves are the meeting points
         flips = F.array(*[F.lit(0)] + [F.lit(_signed(1 << b)) for b in range(BITS)] * distance)
-        near = fps.select("fp", F.explode(flips).alias("f")).select(F.col("fp").alias("u"), F.col("fp").bitwiseXOR("f").alias("v"))
+        near = fps.select("fp", F.explode(flips).alias("f")).select(F.col("fp").alias("u"), F.col("fp").bitwiseXOR(F.col("f")).alias("v"))
         return near.join(fps.select(F.col("fp").alias("v")), "v", "left_semi").where("u <> v").select("u", "v")
     flips = F.array(*[F.lit(0)] + [F.lit(_signed(1 << b)) for b in range(BITS)])
     around = materialize(fps.select("fp", F.explode(flips).alias("f")).select("fp", F.col("fp").bitwiseXOR(F.col("f")).alias("mid")))

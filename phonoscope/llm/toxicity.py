@@ -230,7 +230,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     sample = _drawn(docs, labels)
 
     def lexicon(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"term": learn_lexicon(r for b in batches for r in zip(b["toxic"], b["text"], strict=True))})
+        found = learn_lexicon(r for b in batches for r in zip(b["toxic"], b["text"], strict=True))
+        yield pd.DataFrame({"term": pd.Series(found, dtype=object)})
 
     terms = sorted(r[0] for r in sample.repartition(1).mapInPandas(lexicon, "term string").collect())
 

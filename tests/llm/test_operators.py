@@ -197,9 +197,9 @@ def test_mixing_odd_rows_and_odds(spark, odd):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count() and all(r.taken == r.copies * r.size <= 2 * r.size for r in rows)
     assert mixing.mix(odd.limit(0)).count() == 0
-    docs = spark.createDataFrame([(k, "w " * 10, "a" if k % 2 else "b", 50.0 if k < 500 else 0.02) for k in range(1000)], "doc_id long, text string, source string, odds double")
-    likely = Counter(r.row.doc_id < 500 for r in mixing.mix(docs, odds="odds").collect() if r.copies > 1)
-    assert likely[True] > 3 * likely[False]
+    docs = spark.createDataFrame([(k, "w " * 10, "abc"[k % 3], 9.0 if k < 500 else 0.1) for k in range(1000)], "doc_id long, text string, source string, odds double")
+    likely = Counter(r.row.doc_id < 500 for r in mixing.mix(docs, odds="odds").collect() if r.row.source == "c" and r.copies > 1)
+    assert likely[True] > 1.5 * likely[False] > 0
 
 
 # ---- toxicity ----
@@ -340,7 +340,7 @@ def test_leaks_query(spark):
 
 def test_leaks_on_odd_rows(spark, odd, monkeypatch):
     long = junk(random.Random(9), 40)
-    benchmark = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (None, long), (4, long), (4, long.upper()), (5, long + " more of it")], "item_id long, text string")
+    benchmark = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (None, long), (4, long), (4, long.upper()), (5, long + " and it goes on in another way than there")], "item_id long, text string")
     docs = odd.unionByName(table(spark, ["so " + long + " it is", None], [70, 71]))
     for block in (decontaminate.BLOCK, 50):
         monkeypatch.setattr(decontaminate, "BLOCK", block)
