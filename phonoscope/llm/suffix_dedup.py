@@ -6,7 +6,7 @@ suffixes need to travel: of the GRAM-byte strings in a window the one with the l
 its first digit, which depends on the window's bytes alone.  Neighbouring windows with one such anchor form a run and
 travel as one row.  The second digit is the whole run: a run that has appeared before repeats as a whole.  Only distinct runs that share
 an anchor are then split into windows, and those sorted by the digits left, in the task that holds the
-anchor's few runs, or, for an anchor with very many, by passes over the cluster.
+anchor's few runs, or, for an anchor with very many, by passes over the cluster that halve the windows of a run.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phonoscope.llm.common import BROADCAST_BYTES, materialize, small, vectorized, with_rid
+from phonoscope.llm.common import BROADCAST_BYTES, materialize, vectorized, with_rid
 
 #: Bytes of a repeated string, bytes of an anchor, and bytes of a digit in the last passes.
 LENGTH, GRAM, DIGIT = 100, 24, 50
@@ -168,19 +168,21 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     # First digit: anchors that occur once leave.
     again = materialize(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"))
     limit = max(HOT, (again.agg(F.sum("n")).first()[0] or 0) // HOTTEST)
-    hot = F.broadcast(again.where(F.col("n") > limit).select("a"))  # HOTTEST anchors at most
-    alive = materialize(_second_digit(found.join(hot, "a", "left_anti").join(again.select("a"), "a")))
-    hot_alive = materialize(_second_digit_over_cluster(found.join(hot, "a")))
-    alive = alive.unionByName(hot_alive)
-    # Of equal runs the first goes on; all others repeat it as a whole.
-    whole = alive.where(~F.col("first")).select("rid", F.col("s").alias("b"), (F.col("s") + F.shiftright("c", 8) + LENGTH - 1).alias("e"))
+    alive = materialize(found.join(again.select("a", (F.col("n") > limit).alias("hot")), "a"))
+    # Second digit: of equal runs the first goes on; all others repeat it as a whole.
+    marked = _second_digit(alive.where("not hot"))
+    repeats = marked.where("not first").select("rid", "s", "c")
+    hot = alive.where("hot").select("a", "r", "rid", "s", "c")
+    hot_firsts = materialize(_firsts(hot, ["a", "r"]))
+    repeats = materialize(repeats.unionByName(_others(hot, hot_firsts, ["rid", "s"], ["c"]).select("rid", "s", "c")))
+    many = F.broadcast(hot_firsts.groupBy("a").agg(F.count("*").alias("m")))  # HOTTEST rows at most
+    firsts = marked.where("first and m > 1").select("a", "m", "rid", "s", "c").unionByName(hot_firsts.join(many, "a").where("m > 1").select("a", "m", "rid", "s", "c"))
+    whole = repeats.select("rid", F.col("s").alias("b"), (F.col("s") + F.shiftright("c", 8) + LENGTH - 1).alias("e"))
     # Distinct runs that share an anchor go on, with their bytes.
-    contested = alive.where(F.col("first") & (F.col("m") > 1)).groupBy("rid").agg(F.collect_list(F.struct("a", "m", "s", "c")).alias("own"))
+    contested = firsts.groupBy("rid").agg(F.collect_list(F.struct("a", "m", "s", "c")).alias("own"))
     cut = texts.join(contested, "rid").select("rid", F.inline(F.arrays_zip("own", _cut("text", "own").alias("data"))))
     cut = materialize(cut.select("rid", "own.a", "own.m", "own.s", F.col("own.c").bitwiseAND(255).alias("o"), "data"))
-    few = cut.where(F.col("m") <= CROWD).groupBy("a").agg(F.collect_list(F.struct("rid", "s", "o", "data")).alias("g"))
-    few = few.select(F.inline(_sorted_here("g"))).select("rid", "b", "e")
-    spans = whole.unionByName(few).unionByName(_sorted_over_cluster(cut.where(F.col("m") > CROWD)))
+    spans = whole.unionByName(_in_tasks(cut.where(F.col("m") <= CROWD), ["a"])).unionByName(_over_cluster(cut.where(F.col("m") > CROWD)))
     return materialize(spans.groupBy("rid").agg(F.collect_list(F.struct("b", "e")).alias("all")).select("rid", _joined_up("all").alias("spans")))
 
 
@@ -188,34 +190,59 @@ def _second_digit(rows: DataFrame) -> DataFrame:
     """rows with first (whether no equal run is before) and m (distinct runs with the anchor), for anchors of bounded occurrence."""
     equal = Window.partitionBy("a", "r").orderBy("rid", "s")
     rows = rows.withColumn("first", F.row_number().over(equal) == 1)
-    return rows.withColumn("m", F.sum(F.col("first").cast("long")).over(Window.partitionBy("a"))).select("a", "rid", "s", "c", "first", "m")
-
-
-def _second_digit_over_cluster(rows: DataFrame) -> DataFrame:
-    """The same for anchors that are too frequent for one task: firsts and counts are combined before the shuffle."""
-    rows = materialize(rows)
-    firsts = materialize(rows.groupBy("a", "r").agg(F.min(F.struct("rid", "s")).alias("f")).select("a", "f.rid", "f.s"))
-    many = F.broadcast(firsts.groupBy("a").agg(F.count("*").alias("m")))  # HOTTEST rows at most
-    known = firsts.select("rid", "s", F.lit(True).alias("first"))
-    marked = rows.join(known, ["rid", "s"], "left").withColumn("first", F.coalesce("first", F.lit(False)))
-    return marked.join(many, "a").select("a", "rid", "s", "c", "first", "m")
-
-
-def _sorted_over_cluster(cut: DataFrame) -> DataFrame:
-    """Windows of runs that share a crowded anchor: pass after pass by DIGIT more bytes, groups of one leaving."""
-    place = F.explode(F.sequence(F.lit(0), F.octet_length("data") - LENGTH))
-    rows = cut.select("a", "rid", "s", "o", "data", place.alias("i")).select(
-        "a", "rid", (F.col("s") + F.col("i")).alias("b"), (F.col("o") - F.col("i")).alias("o"), F.expr(f"substring(data, i + 1, {LENGTH})").alias("data")
-    )
-    rows = materialize(rows)
-    if rows.isEmpty():
-        return rows.select("rid", "b", F.col("b").alias("e"))
-    for depth in range(DIGIT, LENGTH + DIGIT, DIGIT):
-        digits = F.expr(f"substring(data, 1, {min(depth, LENGTH)})")
-        groups = rows.groupBy("a", "o", digits.alias("d")).agg(F.count("*").alias("n"), F.min(F.struct("rid", "b")).alias("first")).where("n > 1")
-        rows = materialize(rows.drop("first").withColumn("d", digits).join(small(materialize(groups.drop("n")), 160), ["a", "o", "d"]).drop("d"))
-    later = rows.where(F.struct("rid", "b") > F.col("first"))
-    return later.select("rid", "b", (F.col("b") + LENGTH).alias("e"))
+    return materialize(rows.withColumn("m", F.sum(F.col("first").cast("long")).over(Window.partitionBy("a"))).where("not first or m > 1").select("a", "rid", "s", "c", "first", "m"))
+
+
+def _firsts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row of each key by rid and start; rows are combined before the shuffle."""
+    rest = [c for c in rows.columns if c not in (*keys, "rid", "s")]
+    return rows.groupBy(*keys).agg(F.min(F.struct("rid", "s", *rest)).alias("f")).select(*keys, "f.*")
+
+
+def _others(rows: DataFrame, firsts: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
+    """The rows that are not among the firsts; `names` tell rows apart."""
+    tagged = rows.select(*names, *keep, F.lit(0).alias("tag")).unionByName(firsts.select(*names, *keep, F.lit(1).alias("tag")))
+    return tagged.groupBy(*names).agg(F.max("tag").alias("tag"), *[F.max(c).alias(c) for c in keep]).where("tag = 0").drop("tag")
+
+
+def _in_tasks(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans of repeated windows of runs whose groups are few enough to be sorted each in one task."""
+    groups = runs.groupBy(*keys).agg(F.collect_list(F.struct("rid", "s", "o", "data")).alias("g"))
+    return groups.select(F.inline(_sorted_here("g"))).select("rid", "b", "e")
+
+
+def _over_cluster(runs: DataFrame) -> DataFrame:
+    """Spans of repeated windows of crowded groups, by passes over the cluster.
+
+    A pass has windows whose places about the anchor lie in a range.  Runs with equal bytes for all of the range are
+    equal windows throughout: the first goes on, the others repeat it.  The rest is dealt by the bytes that all
+    windows of the range share; groups of one leave, small ones are sorted in a task, and crowded ones go on with
+    either half of the range, down to single places, where equal bytes are equal windows.
+    """
+    low = F.col("o") - F.octet_length("data") + LENGTH
+    rows = materialize(runs.select("a", low.alias("low"), F.col("o").alias("high"), "rid", "s", "o", "data"))
+    spans = rows.select("rid", F.col("s").alias("b"), F.col("s").alias("e")).limit(0)
+    width = LENGTH - GRAM + 1
+    while not rows.isEmpty():
+        # A run's share of each range, from low to high: its bytes begin at s, and the anchor is high bytes on.
+        rows = rows.withColumn("part", F.explode(F.sequence(F.floor(F.col("low") / width).cast("int"), F.floor(F.col("high") / width).cast("int"))))
+        rows = rows.withColumns({"low": F.greatest("low", F.col("part") * width), "high": F.least("high", F.col("part") * width + width - 1)})
+        cut = F.expr(f"substring(data, o - high + 1, high - low + {LENGTH})")
+        rows = materialize(rows.select("a", "part", "low", "high", "rid", (F.col("s") + F.col("o") - F.col("high")).alias("s"), cut.alias("data")))
+        firsts = materialize(_firsts(rows, ["a", "part", "low", "high", "data"]))
+        later = _others(rows, firsts, ["rid", "s"], ["low", "high"])
+        spans = spans.unionByName(later.select("rid", F.col("s").alias("b"), (F.col("s") + F.col("high") - F.col("low") + LENGTH).alias("e")))
+        if width == 1:
+            break
+        # What all windows of the range have: from its nearest place before the anchor, so many bytes on.
+        core = F.expr(f"substring(data, high - part * {width} + 1, {LENGTH - width + 1})")
+        firsts = firsts.withColumn("core", core).withColumn("o", F.col("high"))
+        sizes = materialize(firsts.groupBy("a", "part", "core").agg(F.count("*").alias("m")).where("m > 1"))
+        firsts = materialize(firsts.join(sizes, ["a", "part", "core"]))
+        spans = spans.unionByName(_in_tasks(firsts.where(F.col("m") <= CROWD), ["a", "part", "core"]))
+        rows = firsts.where(F.col("m") > CROWD).select("a", "low", "high", "rid", "s", "o", "data")
+        width = -(-width // 2)
+    return spans
 
 
 def _joined_up_of(spans: pd.Series) -> pd.Series:
