@@ -204,3 +204,8 @@ def xsampa_to_ipa(text: Column, longest_match: bool = False) -> Column:
 def notation_to_xsampa(text: Column, on_error: str = NULL) -> Column:
     """X-SAMPA of a text of the notation, by way of IPA."""
     return ipa_to_xsampa(notation_to_ipa(text, on_error))
+
+
+def escaped(text: Column) -> Column:
+    """The text with a backslash before each sign that means something in a regular expression."""
+    return F.regexp_replace(text, r"[-/\\^$*+?.()|\[\]{}]", r"\\$0")

@@ -208,6 +208,35 @@ def syllables(text: Column, on_error: str = "null") -> Column:
     return F.pandas_udf(_strict_syllables_of if on_error == "error" else _syllables_of, "array<string>")(text)
 
 
+MARK_TYPE = "array<struct<value: string, kind: string, tone: string, features: array<string>>>"
+
+
+def _marks_of(texts: pd.Series) -> pd.Series:
+    out = []
+    for t in texts:
+        try:
+            read = None if t is None else read_marks(t)
+        except ValueError:
+            read = None
+        out.append(None if read is None else [{"value": m.value, "kind": m.kind, "tone": m.features.get("tone"), "features": [f for f in m.features if f != "tone"]} for m in read])
+    return pd.Series(out, dtype=object)
+
+
+def marks(text: Column) -> Column:
+    """array of struct(value, kind, tone, features): the sounds of a text; null where it can't be read."""
+    return F.pandas_udf(_marks_of, MARK_TYPE)(text)
+
+
+def written(marks: Column) -> Column:
+    """The text of an array of marks as `marks` gives them, features in their fixed order."""
+
+    def one(m: Column) -> Column:
+        signs = [F.coalesce(m["tone"], F.lit("")) if name == "tone" else F.when(F.array_contains(m["features"], name), sign).otherwise("") for name, sign in WRITTEN]
+        return F.concat(m["value"], *signs)
+
+    return F.array_join(F.transform(marks, one), "")
+
+
 def syllable_count(text: Column, on_error: str = "null") -> Column:
     """Number of syllables; null where there are none to tell."""
     parts = syllables(text, on_error)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from phonoscope.functions import ipa_reader, notation, prosody, simplify
+from phonoscope.functions import ipa_reader, notation, plain, prosody, simplify
 
 #: Names for selectExpr-like use on a DataFrame: each is a function of one column.
 FUNCTIONS = {
@@ -21,6 +21,7 @@ FUNCTIONS = {
     "xsampa_to_ipa": notation.xsampa_to_ipa,
     "ipa_to_notation": ipa_reader.ipa_to_notation,
     "simplify": simplify.simplify,
+    "marks": prosody.marks,
     "syllables": prosody.syllables,
     "syllable_count": prosody.syllable_count,
 }
@@ -35,14 +36,19 @@ class SyllableRows:
 
 
 def register(spark: SparkSession) -> None:
-    """Register the Arrow functions and the table function for SQL.
+    """Register the functions for SQL.
 
-    `syllables` and `ipa_to_notation` are scalar functions; `syllable_rows(text)` is a table function for LATERAL
-    joins.  The pure expressions have no name of their own in SQL: `with_functions` adds them to a DataFrame.
+    Scalar functions of one string: the names in `plain.SCALARS`, `syllables`, `marks` and `ipa_to_notation`. Table functions for LATERAL
+    joins: `syllable_rows(text)` and `simplified_rows(text)`. In SQL all run as Arrow functions; on DataFrames
+    `with_functions` and the modules' own functions give expressions where there are any.
     """
+    for name, (function, schema) in plain.SCALARS.items():
+        spark.udf.register(name, plain.arrow_function(function, schema))
     spark.udf.register("syllables", F.pandas_udf(prosody._syllables_of, "array<string>"))
+    spark.udf.register("marks", F.pandas_udf(prosody._marks_of, prosody.MARK_TYPE))
     spark.udf.register("ipa_to_notation", ipa_reader.scalar_udf())
     spark.udtf.register("syllable_rows", udtf(SyllableRows, returnType="pos int, syllable string"))
+    spark.udtf.register("simplified_rows", udtf(plain.SimplifiedRows, returnType="place int, text string, code string, mass double, load map<string, string>"))
 
 
 def with_functions(df: DataFrame, column: str, *names: str) -> DataFrame:

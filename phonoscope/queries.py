@@ -132,6 +132,17 @@ def syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("word", F.array_join("s", " - ").alias("syllables"), F.size("s").alias("n_syllables"))
 
 
+def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sounds of each word, and the word written from them."""
+    found = _words(spark, sf_dir).select("word", prosody.marks(F.col("word")).alias("m"))
+    kinds = F.array_join(F.transform("m", lambda m: F.concat(m["value"], F.lit(":"), m["kind"])), " ")
+    return found.select("word", kinds.alias("marks"), prosody.written(F.col("m")).alias("written"))
+
+
+def escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", notation.escaped(F.col("text")).alias("escaped"))
+
+
 def ipa_to_notation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark, sf_dir).select("word", ipa_to_notation(F.col("word")).alias("notation"))
 
@@ -158,7 +169,9 @@ QUERIES = {
     "simplify_ranked": simplify_ranked,
     "simplify_array": simplify_array,
     "phonetic_lookup": lookup,
+    "marks": marks,
     "syllables": syllables,
+    "escaped": escaped,
     "ipa_to_notation": ipa_to_notation_words,
     "rhyme_likeness": rhyme_likeness,
 }
@@ -373,6 +386,8 @@ ORACLES = {
     "simplify_ranked": _RANKED,
     "simplify_array": _RANKED,
     "phonetic_lookup": _LOOKUP,
+    "marks": f"SELECT word, array_to_string(list_transform(string_split(word, ''), lambda c: c || CASE WHEN contains('aeiou', c) THEN ':vowel' ELSE ':consonant' END), ' ') AS marks, word AS written FROM ({_WORDS})",
+    "escaped": r"SELECT doc_id, regexp_replace(text, '([-/\\^$*+?.()|\[\]{}])', '\\\1', 'g') AS escaped FROM documents",
     "ipa_to_notation": f"SELECT word, {_by_character('word', _LETTERS_AS_IPA)} AS notation FROM ({_WORDS})",
     "rhyme_likeness": _RHYME,
 }

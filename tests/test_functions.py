@@ -6,10 +6,10 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from phonoscope.functions import glyphs, notation, simplify, syllable_patterns
+from phonoscope.functions import glyphs, notation, plain, simplify, syllable_patterns
 from phonoscope.functions.ipa_letters import LETTERS
 from phonoscope.functions.ipa_reader import ipa_to_notation, read_ipa
-from phonoscope.functions.prosody import syllabify, syllable_count, syllables
+from phonoscope.functions.prosody import marks, syllabify, syllable_count, syllables, written
 from phonoscope.functions.rhyme_table import WEIGHTS
 from phonoscope.functions.sql import register, with_functions
 from phonoscope.functions.xsampa_table import PAIRS
@@ -142,8 +142,31 @@ def test_view_load_and_range(spark):
     assert [v.text for v in views[2:5]] == ["ba+_e-", "ba+h~e-", "ba_h~e"]
 
 
+def test_plain_functions_agree_with_expressions(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("aeIuU$&@-+/\\_!^htdQ~G .=?x1éo") for _ in range(rng.randrange(10))) for _ in range(400)] + [*READABLE, *IPA, None]
+    for name, (function, _) in plain.SCALARS.items():
+        expression = getattr(notation, name)
+        assert values(spark, texts, expression) == [None if t is None else function(t) for t in texts], name
+    some = [t for t in texts[:60] if t] + ["by~oph~am", "greIdAotxs", "Kad~Q~a_^'"]
+    found = values(spark, some, simplify.simplify)
+    assert [[(v.text, v.code, v.mass, v.load) for v in views] for views in found] == [plain.simplified(t) for t in some]
+
+
+def test_marks(spark):
+    texts = ["kIt~a_^b", "nh!a&-", "a1", None, "=.a@"]
+    found = values(spark, texts, marks)
+    assert found[2:4] == [None, None] and [m.value for m in found[0]] == ["k", "I", "t", "a", "b"]
+    assert (found[1][0].features, found[1][1].features, found[1][1].tone) == (["voiceless"], ["nasal"], "-")
+    assert values(spark, texts, lambda t: written(marks(t))) == ["kIt~a_^b", "na&-", None, None, ".a@"]
+
+
 def test_sql_names(spark):
     register(spark)
+    row = spark.sql("SELECT readable('siqk') AS r, machine('n~') AS m, notation_to_ipa('siqk') AS i, xsampa_to_ipa('=\\\\') AS x, tokens('a+b') AS t, marks('ta')[1].kind AS k").first()
+    assert tuple(row) == ("sin\u0307k", chr(0xCF83), "siŋk", "ǂ", ["a+", "b"], "vowel")
+    views = spark.sql("SELECT place, text, mass, load['vowel'] AS vowel FROM VALUES ('purchase') AS t(w), LATERAL simplified_rows(w) ORDER BY place").collect()
+    assert [tuple(v) for v in views] == [(1, "purchase", 1.0, "all"), (2, "parchasa", 0.5008, "one"), (3, "prchs", 0.0015, "none")]
     assert spark.sql("SELECT syllables('kUba^llU') AS s, ipa_to_notation('kuɾl') AS n").first() == (["kU", "ba^l", "lU"], "kurl")
     rows = spark.sql("SELECT w, pos, syllable FROM VALUES ('ladjdja'), ('a1') AS t(w), LATERAL syllable_rows(w) ORDER BY pos").collect()
     assert [tuple(r) for r in rows] == [("ladjdja", 0, "ladj"), ("ladjdja", 1, "dja")]
