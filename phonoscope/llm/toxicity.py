@@ -25,9 +25,8 @@ from phonoscope.llm.common import bucket_of, materialize, row_of, text_of
 
 #: About so many labelled rows of each class are drawn, by a hash of their id, to fit the classifier.
 SAMPLE = 3000
-#: Shortest and longest stem; a term needs so many toxic texts and such a likelihood ratio statistic (among a million
-#: terms of no effect, fewer than one reaches it); the most terms.
-STEM, LONGEST, SUPPORT, RATIO, TERMS = 4, 10, 3, 30.0, 400
+#: Shortest and longest stem; a term needs so many toxic texts; terms of no effect that may be chosen; the most terms.
+STEM, LONGEST, SUPPORT, FALSE, TERMS = 4, 10, 3, 0.2, 400
 #: Edits allowed in a whole word or a stem of at least so many letters.
 EDITS, STEM_EDITS = ((9, 2), (5, 1)), ((7, 1),)
 #: Characters on each side of a hit that are searched for quotation marks and reporting words, and what a quoted hit keeps.
@@ -154,7 +153,8 @@ def _drawn(docs: DataFrame, labels: DataFrame) -> DataFrame:
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     limit = F.when(F.col("toxic"), SAMPLE / max(n.get(True, 0), 1)).otherwise(SAMPLE / max(n.get(False, 0), 1))
     ids = labelled.where(u < limit)  # about 2 * SAMPLE rows, whatever the size of the tables
-    return materialize(docs.join(F.broadcast(ids), "doc_id").select("toxic", text_of("text").alias("text")).distinct())
+    texts = docs.select("doc_id", text_of("text").alias("text"))
+    return materialize(texts.join(F.broadcast(ids), "doc_id").select("toxic", "text").distinct())
 
 
 def _family(words: set[str]) -> tuple[int, int]:
@@ -194,8 +194,9 @@ def learn_lexicon(rows: Iterator[tuple[bool, str]]) -> list[str]:
 
     tried = sorted(((ratio(t), len(t), t) for t, k in bad.items() if k >= SUPPORT), reverse=True) if n and m else []
     chosen: list[str] = []
+    least = 2 * math.log(max(len(tried), 1) / FALSE)  # a statistic that so many terms of no effect reach about FALSE times in all
     for g, _, t in tried:
-        if g < RATIO or len(chosen) == TERMS:
+        if g < least or len(chosen) == TERMS:
             break
         stem = t.removesuffix("$")
         if not any(stem.startswith(c.removesuffix("$")) or c.startswith(stem) for c in chosen):
