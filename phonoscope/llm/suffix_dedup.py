@@ -29,7 +29,7 @@ CROWD = 64
 #: An anchor with more occurrences than HOT, or their share of HOTTEST, whichever is more, is not gathered in one task.
 HOT, HOTTEST = 10000, 1000
 #: Bytes that are scanned for anchors at once.
-SLICE = 1 << 18
+SLICE = 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
