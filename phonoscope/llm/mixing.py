@@ -16,8 +16,8 @@ from phonoscope.llm.common import WORD, materialize, row_of, small, text_of
 
 #: Weights by rank of the source's name, repeating; share of all words; most copies of a document.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-#: Bins of the histogram of ranks, for each source.
-BINS = 4096
+#: Bins of the histogram of ranks, for each source, and bins that are first taken together.
+BINS, COARSE = 4096, 64
 _TWO52 = float(1 << 52)
 
 
@@ -73,9 +73,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     # Where each source stops: the first bin whose words reach past what is needed.
     words = materialize(_ranked(facts, per, seed).groupBy("key", "need", "bin").agg(F.sum("size").alias("words")))
-    upto = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stops = words.withColumn("end", F.sum("words").over(upto)).where(F.col("end") >= F.col("need"))
-    stops = stops.groupBy("key").agg(F.min(F.struct("bin", (F.col("end") - F.col("words")).alias("before"))).alias("stop"))
+    words = words.withColumn("coarse", F.floor(F.col("bin") / COARSE))
+    sums = words.groupBy("key", "need", "coarse").agg(F.sum("words").alias("words"))
+    outer = _first_past(sums, "coarse", F.lit(0)).select("key", "coarse", "before")
+    stops = _first_past(words.join(small(materialize(outer), 96), ["key", "coarse"]), "bin", F.col("before")).select("key", F.struct("bin", "before").alias("stop"))
     per = small(materialize(per.join(stops, "key", "left").select(*per.columns, "stop.bin", "stop.before").withColumnRenamed("bin", "stop_bin")), 256)
 
     # In that bin alone documents are put in order; one is taken if its middle word still is.
@@ -93,6 +94,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return chosen.select("row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _first_past(sums: DataFrame, place: str, before: Column) -> DataFrame:
+    """The first place of each key whose words, with those before it, reach what is needed, and the words before it."""
+    upto = Window.partitionBy("key").orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = sums.withColumn("end", before + F.sum("words").over(upto)).where(F.col("end") >= F.col("need"))
+    found = ends.groupBy("key").agg(F.min(F.struct(place, (F.col("end") - F.col("words")).alias("before"))).alias("f"))
+    return found.select("key", f"f.{place}", "f.before")
+
+
 def _ranked(rows: DataFrame, per: DataFrame, seed: str) -> DataFrame:
     """rows with their source's columns, the Pareto rank and its bin."""
     u = uniform(F.col("id"), seed)
