@@ -9,7 +9,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from phonoscope.llm import chat_format, common, decontaminate, exact_dedup, graph, language_id, mixing, near_copies, passage_dedup, simhash, suffix_dedup, token_counts, toxicity
