@@ -26,6 +26,13 @@ def _literal_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
+def _lookup(token: Column, pairs: dict[str, str]) -> Column:
+    """The value of a token or null: by code for one ASCII character, which most tokens are, else in a small map."""
+    by_code = F.array(*[F.lit(pairs.get(chr(c))) for c in range(128)])
+    others = {k: v for k, v in pairs.items() if len(k) != 1 or ord(k) > 127}
+    return F.when((F.length(token) == 1) & (F.ascii(token) < 128), F.get(by_code, F.ascii(token))).otherwise(_literal_map(others)[token])
+
+
 def _has(token: Column, mark: str) -> Column:
     return F.instr(token, mark) > 0
 
@@ -68,7 +75,8 @@ def _readable_vowel(token: Column) -> Column:
 
 def readable_token(token: Column, unmatched: str = KEEP) -> Column:
     """The form of one token with letters and combining marks."""
-    return F.when(_is_vowel(token), _readable_vowel(token)).otherwise(F.coalesce(_literal_map(glyphs.READABLE)[token], _unmatched(token, unmatched)))
+    bare = {c: c if c.islower() else c.lower() + glyphs.DOT_BELOW for c in glyphs.VOWEL_LETTERS}
+    return F.coalesce(_lookup(token, glyphs.READABLE | bare), F.when(_is_vowel(token), _readable_vowel(token)), _unmatched(token, unmatched))
 
 
 def _character(code: Column) -> Column:
@@ -89,7 +97,10 @@ def vowel_ordinal(token: Column) -> Column:
 
 def machine_token(token: Column, unmatched: str = KEEP) -> Column:
     """The one-character code of one token."""
-    return F.when(_is_vowel(token), _character(vowel_ordinal(token) + glyphs.FIRST_VOWEL)).otherwise(F.coalesce(_literal_map(glyphs.MACHINE)[token], _unmatched(token, unmatched)))
+    unmarked = 2 * 3 * 2 * 2 * 2 * (len(glyphs.TONES) + 1)  # codes for each letter, the last without any mark
+    bare = {c: chr(glyphs.FIRST_VOWEL + (k + 1) * unmarked - 1) for k, c in enumerate(glyphs.VOWEL_LETTERS)}
+    coded = F.when(_is_vowel(token), _character(vowel_ordinal(token) + glyphs.FIRST_VOWEL))
+    return F.coalesce(_lookup(token, glyphs.MACHINE | bare), coded, _unmatched(token, unmatched))
 
 
 def readable_tokens(text: Column, unmatched: str = KEEP) -> Column:
@@ -185,8 +196,7 @@ def live_keys() -> list[str]:
 
 def ipa_to_xsampa(text: Column) -> Column:
     """X-SAMPA of IPA, character by character; unknown characters stay."""
-    known = _literal_map(IPA_TO_XSAMPA)
-    return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(known[c], c)), "")
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(_lookup(c, IPA_TO_XSAMPA), c)), "")
 
 
 def xsampa_to_ipa(text: Column, longest_match: bool = False) -> Column:
@@ -197,8 +207,8 @@ def xsampa_to_ipa(text: Column, longest_match: bool = False) -> Column:
     """
     keys = sorted(XSAMPA_TO_IPA, key=len, reverse=True) if longest_match else live_keys()
     many = "|".join(r"\Q" + k + r"\E" for k in keys if len(k) > 1)
-    known = _literal_map({k: XSAMPA_TO_IPA[k] for k in keys})
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(rf"{many}|[\s\S]"), F.lit(0)), lambda c: F.coalesce(known[c], c)), "")
+    known = {k: XSAMPA_TO_IPA[k] for k in keys}
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(rf"{many}|[\s\S]"), F.lit(0)), lambda c: F.coalesce(_lookup(c, known), c)), "")
 
 
 def notation_to_xsampa(text: Column, on_error: str = NULL) -> Column:
