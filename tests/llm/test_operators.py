@@ -471,6 +471,38 @@ def test_passages_cover_exact_repeats(spark):
     assert missed <= 0.03 * windows
 
 
+def fuzzy_copy(rng, words, share):
+    """words with a share of them changed, and how alike the two are word by word."""
+    copy = list(words)
+    for i in rng.sample(range(len(words)), int(share * len(words))):
+        copy[i] = "".join(rng.choice("pqrstvwxyz") for _ in range(6))
+    return copy
+
+
+def test_fuzzy_passages_against_full_alignment():
+    rng, true, missed = random.Random(21), 0, 0
+    fits = lambda h: h is not None and min(h[1] - h[0], h[3] - h[2]) >= 50 and h[4] >= 0.8 * max(h[1] - h[0], h[3] - h[2])
+    for n, share in [(52, 0.1), (56, 0.15), (80, 0.18)] * 25:
+        part = words_of(rng, n)
+        a, b = (passage_dedup.word_codes(" ".join([*words_of(rng, 60), *p, *words_of(rng, 60)])) for p in (part, fuzzy_copy(rng, part, share)))
+        if fits(passage_dedup.align(a, b)):
+            true += 1
+            there = dict(zip(*(x.tolist() for x in passage_dedup.seeds(b)), strict=True))
+            anchors = [(p, there[h]) for h, p in zip(*(x.tolist() for x in passage_dedup.seeds(a)), strict=True) if h in there]
+            m = passage_dedup.BEYOND
+            cut = [(a[max(0, s - m) : e + m], b[max(0, t - m) : f + m], (min(s, m), min(t, m)), (e - s, f - t)) for s, e, t, f in passage_dedup.spans(anchors)]
+            missed += not any(fits(passage_dedup.passage(*c)) for c in cut)
+    assert true >= 60 and missed <= 0.05 * true
+
+
+def test_short_chain_off_the_diagonal_is_aligned():
+    rng = random.Random(22)
+    part = passage_dedup.word_codes(" ".join(words_of(rng, 60)))
+    extra = passage_dedup.word_codes(" ".join(words_of(rng, 2)))
+    other = np.concatenate([part[:20], extra[:1], part[20:40], extra[1:], part[40:]])
+    assert passage_dedup.passage(part, other, (25, 26), (10, 10))[4] == 60
+
+
 def test_chains_use_the_tree():
     line = [(x, x + 100) for x in range(0, 40, 4)]
     noise = [(10, 300), (22, 5), (30, 131)]
