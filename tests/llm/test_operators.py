@@ -503,6 +503,19 @@ def test_short_chain_off_the_diagonal_is_aligned():
     assert passage_dedup.passage(part, other, (25, 26), (10, 10))[4] == 60
 
 
+def test_passages_whose_pieces_stand_in_earlier_rows(spark):
+    rng = random.Random(23)
+    texts, wanted = [], {}
+    for _ in range(8):
+        part = words_of(rng, 60)
+        pieces = [part[i : i + 12] for i in range(0, 60, 12)]
+        texts += [" ".join([*words_of(rng, 50), *p, *words_of(rng, 50)]) for p in pieces]
+        texts += [" ".join([*words_of(rng, 50), *p, *words_of(rng, 50)]) for p in (part, fuzzy_copy(rng, part, 0.1))]
+        wanted[len(texts) - 1] = len(texts) - 2
+    found = {(r.id, r.first_id) for r in passage_dedup.passages(table(spark, texts)).collect()}
+    assert set(wanted.items()) <= found
+
+
 def test_chains_use_the_tree():
     line = [(x, x + 100) for x in range(0, 40, 4)]
     noise = [(10, 300), (22, 5), (30, 131)]
