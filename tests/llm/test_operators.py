@@ -167,6 +167,13 @@ def test_near_copies(spark, crowd, monkeypatch):
     assert all(len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v]) for u, v in links)
 
 
+def test_near_copies_with_a_line_repeated(spark):
+    rng = random.Random(31)
+    lines = [" ".join(words_of(rng, 8)) for _ in range(30)]
+    texts = ["\n".join(lines), "\n".join([*lines, *[lines[4]] * 12])]
+    assert [r.doc_id for r in near_copies.drop_near_copies(table(spark, texts)).collect()] == [0]
+
+
 def test_near_copies_on_odd_rows(spark, odd):
     kept = near_copies.drop_near_copies(odd)
     assert kept.columns == odd.columns and 0 < kept.count() < odd.count()
