@@ -167,6 +167,22 @@ def test_near_copies(spark, crowd, monkeypatch):
     assert all(len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v]) for u, v in links)
 
 
+@pytest.mark.parametrize("crowd", [2, 48])
+def test_near_copies_with_block_edits(spark, crowd, monkeypatch):
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
+    rng = random.Random(33)
+    texts = []
+    for n in [60, 120, 300, 600] * 8:
+        words = words_of(rng, n)
+        cut, at = int(n * 0.17), rng.randrange(n // 2)
+        edited = [*words[:at], *words_of(rng, n // 11), *words[at + n // 11 :]]
+        texts += [" ".join(w) for w in (words, words[:-cut], [*words, *words_of(rng, cut)], edited)]
+    sets = [set(near_copies.shingle_set(t).tolist()) for t in texts]
+    near = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    links = [tuple(r) for r in near_copies.near_links(common.with_rid(table(spark, texts), "doc_id", "text")).collect()]
+    assert len(near) >= 64 and reach(range(len(texts)), links) == reach(range(len(texts)), near)
+
+
 def test_near_copies_with_a_line_repeated(spark):
     rng = random.Random(31)
     lines = [" ".join(words_of(rng, 8)) for _ in range(30)]
