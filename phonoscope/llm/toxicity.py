@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from zlib import crc32
 
@@ -27,6 +27,8 @@ from phonoscope.llm.common import bucket_of, materialize, row_of, text_of
 SAMPLE = 3000
 #: Shortest and longest stem; a term needs so many toxic texts; terms of no effect that may be chosen; the most terms.
 STEM, LONGEST, SUPPORT, FALSE, TERMS = 4, 10, 3, 0.2, 400
+#: Jaccard similarity of their words from which two texts of a class count once.
+LIKE = 0.7
 #: Edits allowed in a whole word or a stem of at least so many letters.
 EDITS, STEM_EDITS = ((9, 2), (5, 1)), ((7, 1),)
 #: Characters on each side of a hit that are searched for quotation marks and reporting words, and what a quoted hit keeps.
@@ -157,28 +159,42 @@ def _drawn(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(texts.join(F.broadcast(ids), "doc_id").select("toxic", "text").distinct())
 
 
-def _family(words: set[str]) -> tuple[int, int]:
-    """Two minima over a text's words under different hashes: near copies share one of them nearly always."""
-    codes = np.fromiter((crc32(w.encode()) for w in words), dtype=np.uint64, count=len(words))
-    return int(codes.min()), int((codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7)).min())
+def unlike(rows: Iterable[tuple[bool, str]]) -> Iterator[tuple[bool, set[str]]]:
+    """(toxic, words) of the texts, in an order of their own, without those whose words are much as those of one before in their class.
+
+    Texts that share one of two minima over their words under different hashes, as near copies nearly always do, are
+    compared, and the later is left out if the Jaccard similarity of their words is LIKE or more.
+    """
+    families: dict[tuple, list[np.ndarray]] = defaultdict(list)
+    for toxic, text in sorted(rows):
+        words = {w for w in TOKEN.findall(text.lower()) if len(w) >= STEM}
+        if not words:
+            continue
+        codes = np.unique(np.fromiter((crc32(w.encode()) for w in words), dtype=np.uint64, count=len(words)))
+        family = [families[toxic, 0, int(codes[0])], families[toxic, 1, int((codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7)).min())]]
+        if any(_like(codes, other) for others in family for other in others):
+            continue
+        for others in family:
+            others.append(codes)
+        yield toxic, words
 
 
-def learn_lexicon(rows: Iterator[tuple[bool, str]]) -> list[str]:
+def _like(a: np.ndarray, b: np.ndarray) -> bool:
+    if min(len(a), len(b)) < LIKE * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= LIKE * (len(a) + len(b) - shared)
+
+
+def learn_lexicon(rows: Iterable[tuple[bool, str]]) -> list[str]:
     """Whole words (ending in $) and stems that toxic texts hold far more often than clean ones do.
 
     A term is chosen if its likelihood ratio statistic is significant among all that are tried, and of nested ones
     the one with the greatest; near copies of a text count once.
     """
     seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    size, families = Counter(), set()
-    for toxic, text in rows:
-        words = {w for w in TOKEN.findall(text.lower()) if len(w) >= STEM}
-        if not words:
-            continue
-        family = {(toxic, k, v) for k, v in enumerate(_family(words))}
-        if families & family:
-            continue
-        families |= family
+    size: Counter = Counter()
+    for toxic, words in unlike(rows):
         size[toxic] += 1
         seen[toxic].update({w[:k] for w in words for k in range(STEM, min(len(w), LONGEST) + 1)} | {w + "$" for w in words})
     bad, good, n, m = seen[True], seen[False], size[True], size[False]

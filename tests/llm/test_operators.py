@@ -271,6 +271,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert right[1, 1] >= 0.8 * (right[1, 1] + right[1, 0]) and right[0, 1] <= 0.01 * (right[0, 1] + right[0, 0])
 
 
+def test_texts_that_share_words_all_teach_the_lexicon():
+    rng = random.Random(41)
+    common = words_of(rng, 60)
+    rows = [(k % 5 == 0, " ".join([*rng.sample(common, 20), *(["nastyword"] if k % 5 == 0 else [])])) for k in range(200)]
+    rows += [(t, text + " again") for t, text in rows[:50]]
+    kept = list(toxicity.unlike(rows))
+    assert Counter(t for t, _ in kept) == {True: 40, False: 160}
+    rng.shuffle(rows)
+    assert toxicity.learn_lexicon(rows) == toxicity.learn_lexicon(sorted(rows))
+    assert any(c.startswith("nast") for c in toxicity.learn_lexicon(rows))
+
+
 def test_toxicity_on_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     some = spark.createDataFrame([(5, 1), (6, 0), (None, 1), (7, None), (5, 1)], "doc_id long, toxic int")
