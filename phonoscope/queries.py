@@ -127,6 +127,12 @@ def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("word", "entry", F.col("score").cast("decimal(5,4)").alias("score"))
 
 
+def lookup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents that sound like one another, by all keys; it has no SQL."""
+    asked = words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return phonetic_lookup(asked, asked).select("word", "entry", F.col("score").cast("decimal(5,4)").alias("score"))
+
+
 def syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _words(spark, sf_dir).select("word", prosody.syllables(F.col("word")).alias("s"))
     return found.select("word", F.array_join("s", " - ").alias("syllables"), F.size("s").alias("n_syllables"))
@@ -169,6 +175,7 @@ QUERIES = {
     "simplify_ranked": simplify_ranked,
     "simplify_array": simplify_array,
     "phonetic_lookup": lookup,
+    "phonetic_lookup_documents": lookup_documents,
     "marks": marks,
     "syllables": syllables,
     "escaped": escaped,
