@@ -313,6 +313,12 @@ def test_languages_on_odd_rows(spark, odd):
     assert {r.lang_pred for r in language_id.identified(odd, none).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"l{i:03d}", f"text number {i}") for i in range(205)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert len(model["langs"]) == 205
+
+
 def test_document_frequencies_and_temperature(spark):
     n, df = language_id.document_frequencies(spark.createDataFrame([("ab",), ("ab ab",), ("",)], "text string"))
     counts = [language_id.ngram_counts(t) > 0 for t in ("ab", "ab ab", "")]
