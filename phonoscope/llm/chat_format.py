@@ -227,7 +227,6 @@ def formatted(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
     white space; null and other roles are relabelled; a null text is empty; null conversation ids make one
     conversation; a null turn comes first, and turns with one number are ordered by role and text.
     """
-    conversations.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     named = conversations.select(
         F.col(f"`{conv_col}`").cast("string").alias("conv"),
         F.col(f"`{turn_col}`").cast("long").alias("turn"),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,39 +18,58 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only when its counted rows times its row bound stay below this.
 BROADCAST_BYTES = 16 << 20
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+_own_root: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset and all runs on this machine (tests), one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="phonoscope-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_root:
+        _own_root.append("file://" + tempfile.mkdtemp(prefix="phonoscope-"))
+    return _own_root[0]
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The table is removed when the driver's Python ends, since lazily returned results still read it.
+    The table is removed by `release` or, since lazily returned results still read it, when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/phonoscope/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more; frames that were not written as they are stay."""
+    for table in tables:
+        path = getattr(table, "written_to", None)
+        if path in _written:
+            _remove(_written.pop(path), path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @atexit.register
 def _remove_tables() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm = spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
         except Exception:  # the session has ended: the cluster's own clean-up takes the folder
-            return
+            break
+    for root in _own_root:
+        shutil.rmtree(root.removeprefix("file://"), ignore_errors=True)
 
 
 def small(table: DataFrame, row_bytes: int) -> DataFrame:

@@ -228,7 +228,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Null and empty texts, and items that are null or shorter than SHORTEST, have no occurrence.  Repeated rows
     give repeated results, and an item id with several texts is looked for by each.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     kept = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
     found = [kept.select("id", F.explode(_finder(items)("text")).alias("hit")).select("id", "hit.*") for items in blocks(benchmark, item_col, item_text)]
     if not found:
@@ -241,7 +240,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without those that hold an item; columns unchanged."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     rows = docs.select(row_of(docs).alias("row"), text_of(text_col).alias("text"))
     for items in blocks(benchmark, item_col, item_text):
         rows = rows.where(F.size(_finder(items)("text")) == 0)

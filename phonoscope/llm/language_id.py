@@ -128,7 +128,6 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict:
     """Languages, document frequencies, weights and temperature; docs are the rows that may be learned from."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     known = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), text_of(text_col).alias("text")).where("lang is not null")
     total, df = document_frequencies(known.select("text"))
     idf = np.log((1 + total) / (1 + df)) + 1
@@ -185,7 +184,6 @@ def identified(docs: DataFrame, model: dict, text_col: str = "text") -> DataFram
 
     Null texts and texts without a letter are `und` with score 0, and so is every text if no language was learned.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 
     def best(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([predict(t, model) for t in texts], columns=["lang_pred", "score"])

@@ -162,7 +162,6 @@ _cut = vectorized(_cut_of, "array<binary>")
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """rid, spans (array of struct b, e; sorted, apart): bytes of texts (columns rid, text) that an earlier equal window covers."""
-    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     found = materialize(texts.where(F.octet_length("text") >= LENGTH).select("rid", _runs("text").alias("f")).select("rid", "f.*"))
     found = found.select("rid", F.inline(F.arrays_zip("a", "r", "s", "c")))
     # First digit: anchors that occur once leave.

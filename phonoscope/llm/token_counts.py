@@ -342,7 +342,6 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts have no bytes and no tokens.  `path` is a tokenizer file that every executor can read.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     path = path or default_path()
 
     @F.pandas_udf("long")

@@ -243,7 +243,6 @@ def features(hits: list[tuple[int, int, bool]], words: int, weights: dict[tuple[
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """The lexicon, the weight of each (term, edits) and the regression, from a bounded sample of labelled rows."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     sample = _drawn(docs, labels)
 
     def lexicon(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,7 +292,6 @@ def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     Null and empty texts have no hit and score as any text without one; a model trained without both classes
     gives every text the same low score.  Repeated rows score alike.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
