@@ -6,6 +6,7 @@ Everything here is a Catalyst expression over one string column; a null gives nu
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,12 +96,16 @@ def vowel_ordinal(token: Column) -> Column:
     return place
 
 
+def _bare_codes() -> dict[str, str]:
+    """The codes of vowels without marks."""
+    unmarked = 2 * 3 * 2 * 2 * 2 * (len(glyphs.TONES) + 1)  # codes for each letter, the last without any mark
+    return {c: chr(glyphs.FIRST_VOWEL + (k + 1) * unmarked - 1) for k, c in enumerate(glyphs.VOWEL_LETTERS)}
+
+
 def machine_token(token: Column, unmatched: str = KEEP) -> Column:
     """The one-character code of one token."""
-    unmarked = 2 * 3 * 2 * 2 * 2 * (len(glyphs.TONES) + 1)  # codes for each letter, the last without any mark
-    bare = {c: chr(glyphs.FIRST_VOWEL + (k + 1) * unmarked - 1) for k, c in enumerate(glyphs.VOWEL_LETTERS)}
     coded = F.when(_is_vowel(token), _character(vowel_ordinal(token) + glyphs.FIRST_VOWEL))
-    return F.coalesce(_lookup(token, glyphs.MACHINE | bare), coded, _unmatched(token, unmatched))
+    return F.coalesce(_lookup(token, glyphs.MACHINE | _bare_codes()), coded, _unmatched(token, unmatched))
 
 
 def readable_tokens(text: Column, unmatched: str = KEEP) -> Column:
@@ -117,14 +122,42 @@ def _joined(parts: Column, policy: str) -> Column:
     return F.when(~F.exists(parts, lambda p: p.isNull()), whole) if policy == NULL else whole
 
 
+#: Characters that come second in some glyph: before any of them a character may begin a longer glyph.
+_SECOND = "".join(sorted({k[1] for k in glyphs.READABLE if len(k) > 1} | set(glyphs.VARIANT + glyphs.NASAL + glyphs.SYLLABIC + glyphs.ACCENT + "".join(glyphs.TONES) + "".join(glyphs.LENGTHS))))
+
+
+def _class(characters: str) -> str:
+    return "".join("\\" + c if not c.isalnum() and ord(c) < 128 else c for c in characters)
+
+
+def _by_stretch(text: Column, single: dict[str, str], form: Callable[[Column], Column]) -> Column:
+    """Stretches of characters that stand for themselves as one token each, rewritten at once; all else token by token.
+
+    single: what becomes of glyphs of one character where no mark follows; characters that begin no glyph stay.
+    A stretch ends before a character that a mark follows, so it never cuts a glyph.
+    """
+    plain = {k: v for k, v in single.items() if len(v) == 1}
+    stops = _SECOND + "=" + "".join(k for k in single if k not in plain)
+    parts = F.regexp_extract_all(text, F.lit(rf"[^{_class(stops)}]+(?![{_class(_SECOND)}])|{TOKEN_PATTERN}"), F.lit(0))
+    moved = {k: v for k, v in plain.items() if k != v}
+    rewritten = lambda t: F.translate(t, "".join(moved), "".join(moved.values())) if moved else t
+    glyph = lambda t: (F.instr(F.lit(stops), F.substring(t, 1, 1)) > 0) | ((F.length(t) > 1) & (F.instr(F.lit(_SECOND), F.substring(t, 2, 1)) > 0))
+    return F.array_join(F.transform(parts, lambda t: F.when(glyph(t), form(t)).otherwise(rewritten(t))), "")
+
+
 def readable(text: Column, unmatched: str = KEEP) -> Column:
     """A text of the notation with letters and combining marks."""
-    return _joined(readable_tokens(text, unmatched), unmatched)
+    if unmatched != KEEP:
+        return _joined(readable_tokens(text, unmatched), unmatched)
+    bare = {c: c if c.islower() else c.lower() + glyphs.DOT_BELOW for c in glyphs.VOWEL_LETTERS}
+    return _by_stretch(text, {k: v for k, v in (glyphs.READABLE | bare).items() if len(k) == 1}, readable_token)
 
 
 def machine(text: Column, unmatched: str = KEEP) -> Column:
     """A text of the notation with one character for each glyph."""
-    return _joined(machine_tokens(text, unmatched), unmatched)
+    if unmatched != KEEP:
+        return _joined(machine_tokens(text, unmatched), unmatched)
+    return _by_stretch(text, {k: v for k, v in (glyphs.MACHINE | _bare_codes()).items() if len(k) == 1}, machine_token)
 
 
 # IPA of vowels, of consonants, and of marks that are sounds or tones of their own.

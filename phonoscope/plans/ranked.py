@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from phonoscope.functions import simplify as S
 from phonoscope.functions.notation import machine
 
+#: Levels of a text.
+LEVELS = 64
+
 
 def expanded(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
     """id columns, text, raw, ordinal: one row for each level of each input row."""
@@ -28,10 +31,13 @@ def ranked_views(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
 
     id_cols name a row; null texts and texts that simplify to nothing give no rows.
     """
-    levels = expanded(df.where(F.col(text_col).isNotNull()).repartition(*id_cols), id_cols, text_col)
-    best = F.max(F.struct("raw", (-F.col("ordinal")).alias("late"))).alias("best")
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    levels = expanded(df.where(F.col(text_col).isNotNull()).repartition(tasks, *id_cols), id_cols, text_col)
+    # A weight and a level's number in one long: the greatest weight, and of levels that have it the first.
+    best = F.max(F.col("raw") * LEVELS + (LEVELS - 1 - F.col("ordinal"))).alias("best")
     views = levels.groupBy(*id_cols, "text").agg(best, F.min("ordinal").alias("seen")).where("text <> ''")
-    views = views.select(*id_cols, "text", "seen", F.col("best.raw").alias("raw_mass"), (-F.col("best.late")).alias("ordinal"))
+    late = F.pmod("best", F.lit(LEVELS))
+    views = views.select(*id_cols, "text", "seen", F.expr(f"best div {LEVELS}").alias("raw_mass"), (F.lit(LEVELS - 1) - late).cast("int").alias("ordinal"))
     row = Window.partitionBy(*id_cols)
     mass = S.normalized_mass(F.col("raw_mass"), F.min("raw_mass").over(row), F.max("raw_mass").over(row))
     place = F.row_number().over(row.orderBy(F.desc("raw_mass"), "seen"))

@@ -15,18 +15,18 @@ from phonoscope.functions.rhyme_table import WEIGHTS
 from phonoscope.functions.xsampa_table import PAIRS
 from phonoscope.operators.lookup import phonetic_lookup, rhyme_score
 from phonoscope.plans.ranked import ranked_views
-from phonoscope.sources.tables import glyph_table, simplify_levels, words, xsampa_table
+from phonoscope.sources.tables import glyph_table, simplify_levels, spread, words, xsampa_table
 
 #: Marks appended to words, by length of the word.
 SUFFIXES = ("", "^", "_", "h~", "+", "--a&", "u$", "G~", "o$++", "E\\/^", "!", "h!")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words(_documents(spark, sf_dir))
+    return words(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text"))
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,13 +11,26 @@ from phonoscope.functions.simplify import CHOICES, choice_of
 from phonoscope.functions.xsampa_table import PAIRS
 
 
+#: A table of fewer bytes for each core than this is dealt over all cores.
+SPREAD = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df as read, but a small table's rows dealt over all cores: a file of one row group is one task however many cores there are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < SPREAD * cores else df
+
+
 def words(df: DataFrame, text_col: str = "text") -> DataFrame:
     """word: the distinct runs of a-z in a text column, in lower case; all of them can be read as notation.
 
     Words repeat a great deal, so costly functions are best applied to these and joined back to their texts.
     """
     parts = F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z]+"), F.lit(0)))
-    return df.select(parts.alias("word")).distinct()
+    # The words are few beside their texts, so a wide number of tasks for what follows costs little.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return spread(df).select(parts.alias("word")).distinct().repartition(max(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "word")
 
 
 def glyph_table(spark: SparkSession) -> DataFrame:
