@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoscope.functions import glyphs, notation, prosody, simplify
+from phonoscope.functions import syllable_patterns as patterns
 from phonoscope.functions.ipa_reader import ipa_to_notation
 from phonoscope.functions.rhyme_table import WEIGHTS
 from phonoscope.functions.xsampa_table import PAIRS
 from phonoscope.operators.lookup import phonetic_lookup, rhyme_score
 from phonoscope.plans.ranked import ranked_views
+from phonoscope.sources import samples
 from phonoscope.sources.tables import glyph_table, simplify_levels, spread, words, xsampa_table
 
 #: Marks appended to words, by length of the word.
@@ -158,7 +160,40 @@ def rhyme_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark, sf_dir).select("word", F.round(rhyme_score(F.col("word"), F.reverse("word")), 6).alias("score"))
 
 
+def sample_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Machine codes of sample words; the results are known, and its SQL holds nothing but them."""
+    given = spark.createDataFrame([r[:1] for r in samples.CODES], "word string")
+    return given.select("word", F.hex(F.encode(notation.machine(F.col("word")), "UTF-16BE")).alias("codes"))
+
+
+def sample_ipa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.createDataFrame([r[:1] for r in samples.IPA], "ipa string")
+    return given.select("ipa", ipa_to_notation(F.col("ipa")).alias("notation"), notation.ipa_to_xsampa(F.col("ipa")).alias("xsampa"))
+
+
+def sample_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.createDataFrame([r[:1] for r in samples.SYLLABLES], "word string")
+    found = given.select("word", prosody.syllables(F.col("word")).alias("s"), notation.notation_to_ipa(F.col("word")).alias("ipa"), prosody.marks(F.col("word")).alias("m"))
+    return found.select("word", F.array_join("s", " - ").alias("syllables"), F.size("s").alias("n_syllables"), "ipa", prosody.written(F.col("m")).alias("written"))
+
+
+def sample_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.createDataFrame([(w,) for w in dict.fromkeys(r[0] for r in samples.KEYS)], "word string")
+    return ranked_views(given, ["word"], "word").select("word", "text", F.col("mass").cast("decimal(5,4)").alias("mass"))
+
+
+def syllable_pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many patterns of consonants and vowels each place in a syllable has."""
+    places = (("opening", patterns.OPENING, "OPENING"), ("closing", patterns.CLOSING, "CLOSING"), ("whole", patterns.WHOLE, ""), ("vowels", patterns.VOWELS, ""))
+    return spark.createDataFrame([(name, len(patterns.patterns(listed, kind))) for name, listed, kind in places], "place string, n int")
+
+
 QUERIES = {
+    "sample_codes": sample_codes,
+    "sample_ipa": sample_ipa,
+    "sample_syllables": sample_syllables,
+    "sample_keys": sample_keys,
+    "syllable_pattern_counts": syllable_pattern_counts,
     "tokens": tokens,
     "readable": readable,
     "machine": machine,
@@ -376,7 +411,17 @@ def _inventory_sql() -> str:
     return f"SELECT t AS key, {_READABLE} AS readable, {_MACHINE} AS machine FROM ({vowels} UNION ALL {others})"
 
 
+def _values(rows: list[tuple] | tuple, columns: str) -> str:
+    value = lambda v: "NULL" if v is None else _q(v) if isinstance(v, str) else str(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(value, r)) + ')' for r in rows)}) t({columns})"
+
+
 ORACLES = {
+    "sample_codes": _values(samples.CODES, "word, codes"),
+    "sample_ipa": _values(samples.IPA, "ipa, notation, xsampa"),
+    "sample_syllables": f"SELECT *, replace(syllables, ' - ', '') AS written FROM ({_values(samples.SYLLABLES, 'word, syllables, n_syllables, ipa')})",
+    "sample_keys": f"SELECT word, text, CAST(mass AS DECIMAL(5,4)) AS mass FROM ({_values(samples.KEYS, 'word, text, mass')})",
+    "syllable_pattern_counts": "SELECT * FROM (VALUES ('opening', 276), ('closing', 1128), ('whole', 48), ('vowels', 75)) t(place, n)",
     "tokens": f"SELECT doc_id, len({_tokens_sql('text')}) AS n_tokens, array_to_string({_tokens_sql('text')}, ' - ') AS tokens FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)",
     "readable": f"SELECT doc_id, {_joined_sql('text', _READABLE)} AS readable FROM documents",
     "machine": f"SELECT doc_id, {_joined_sql('text', _MACHINE)} AS machine FROM documents",
