@@ -7,8 +7,9 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,12 +98,29 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
+#: Rows that a vectorized function sees at once, which bounds what it holds.
+ROWS = 256
+
+
 def vectorized(function: Callable, schema: str) -> Callable[..., Column]:
-    """A function of pandas series as a function of columns; made when called, so modules load without a session.
+    """A function of pandas series as a function of columns, called for ROWS rows at a time.
 
-    It is marked as not deterministic, so that a filter on its result doesn't have it run twice.
+    It is made when called, so modules load without a session, and marked as not deterministic, so that a filter on its
+    result doesn't have it run twice.
     """
-    return lambda *columns: F.pandas_udf(function, schema).asNondeterministic()(*columns)
+
+    def pieces(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            columns = columns if isinstance(columns, tuple) else (columns,)
+            for at in range(0, len(columns[0]), ROWS):
+                yield function(*[c.iloc[at : at + ROWS].reset_index(drop=True) for c in columns])
+
+    def of(*columns: Column | str) -> Column:
+        given = Iterator[pd.Series] if len(columns) == 1 else Iterator[tuple[pd.Series, ...]]
+        pieces.__annotations__ = {"batches": given, "return": Iterator[pd.DataFrame if schema.startswith("struct") else pd.Series]}
+        return F.pandas_udf(pieces, schema).asNondeterministic()(*columns)
+
+    return of
 
 
 def row_of(docs: DataFrame) -> Column:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonoscope.llm.common import text_of
+from phonoscope.llm.common import text_of, vectorized
 
 #: Tokens above which a text is over the limit.
 LIMIT = 512
@@ -344,12 +344,11 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     path = path or default_path()
 
-    @F.pandas_udf("long")
     def tokens(texts: pd.Series) -> pd.Series:
         return pd.Series(counter(path).counts(list(texts)), dtype="int64")
 
     text = text_of(text_col)
-    counted = docs.select(F.col(f"`{id_col}`").alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), tokens(text).alias("n_tokens"))
+    counted = docs.select(F.col(f"`{id_col}`").alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), vectorized(tokens, "long")(text).alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
