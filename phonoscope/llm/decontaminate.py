@@ -9,6 +9,8 @@ the item set is handled in blocks of bounded size, each against all rows.
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,12 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonoscope.llm.common import row_of, text_of
+from phonoscope.llm.common import row_of, text_of, vectorized
 
-#: Length of a q-gram, edits allowed for each character of an item, and the shortest item that is looked for.
+#: Length of a q-gram, edits allowed for each character of an item, and the length under which items are only looked for as they are.
 Q, EDITS, SHORTEST = 10, 0.08, 24
-#: Characters of items in one block, and of texts whose q-grams are looked up at once.
-BLOCK, SLICE = 4 << 20, 1 << 19
+#: Characters of items in one block, characters of texts whose q-grams are looked up at once, and shared q-grams that are counted at once.
+BLOCK, SLICE, SHARED = 4 << 20, 1 << 19, 1 << 21
+TOKEN = re.compile(r"\w+|[^\w\s]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 _BREAK = 0x7FFFFFFF
@@ -63,8 +66,12 @@ class Items:
     """Benchmark items with their q-grams indexed."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        kept = [(i, normalized(t)) for i, t in items]
-        kept = [(i, t) for i, t in kept if len(t) >= SHORTEST]
+        named = [(i, normalized(t)) for i, t in items]
+        kept = [(i, t) for i, t in named if len(t) >= SHORTEST]
+        self.short: dict[str, list[tuple[int, str]]] = defaultdict(list)
+        for i, t in named:
+            if 0 < len(t) < SHORTEST:
+                self.short[TOKEN.search(t)[0]].append((i, t))
         self.ids = [i for i, _ in kept]
         self.texts = [t for _, t in kept]
         self.codes = [_codes(t) for t in self.texts]
@@ -95,15 +102,18 @@ class Items:
         real = self.gram[spot] == grams[at]
         at, spot = at[real], spot[real]
         many = self.first[spot + 1] - self.first[spot]
-        total = int(many.sum())
-        if not total:
+        if not len(many):
             return found
-        pair = np.repeat(self.first[spot] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(total)
-        owner = self.owner[pair]
-        width = self.edits[owner] + 1
-        band = (np.repeat(at, many) - self.place[pair] + self.length[owner]) // width
         stride = len(codes) + int(self.length.max()) * 2 + 2
-        keys, counts = np.unique(owner * stride + band, return_counts=True)
+        keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        upto = np.cumsum(many)
+        begin = 0
+        while begin < len(many):  # text and item may both repeat a q-gram very often, so pairs are counted by slices
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + SHARED, "right")))
+            more, times = self._bands_of(at[begin:end], spot[begin:end], many[begin:end], stride)
+            keys, place = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, times])).astype(np.int64)
+            begin = end
         after = np.searchsorted(keys, keys + 1)
         after[after == len(keys)] = 0
         both = counts + np.where(keys[after] == keys + 1, counts[after], 0)
@@ -114,28 +124,55 @@ class Items:
             found.append((item, b * w - m - k, (b + 2) * w - m + k))
         return found
 
+    def _bands_of(self, at: np.ndarray, spot: np.ndarray, many: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bands (item * stride + band) of these shared q-grams, and how many lie in each."""
+        pair = np.repeat(self.first[spot] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(int(many.sum()))
+        owner = self.owner[pair]
+        band = (np.repeat(at, many) - self.place[pair] + self.length[owner]) // (self.edits[owner] + 1)
+        keys = owner * stride + band
+        low = int(keys.min())
+        if int(keys.max()) - low < 4 * SHARED:
+            counts = np.bincount(keys - low)
+            held = np.flatnonzero(counts)
+            return held + low, counts[held]
+        return np.unique(keys, return_counts=True)
+
     def search(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item id, start, end, edits) of its occurrences, the best of each item, in the normalised text."""
-        out: list[list] = [[] for _ in texts]
-        group: list[tuple[int, np.ndarray]] = []
+        best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+        short: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        overlap = int(self.length.max() + 4 * self.edits.max() + 4) if len(self.length) else 0
+        group: list[tuple[int, int, np.ndarray]] = []
         size = 0
-        for n, text in enumerate(texts):
-            codes = _codes(normalized(text))
-            group.append((n, codes))
-            size += len(codes)
-            if size >= SLICE:
-                self._search(group, out)
-                group, size = [], 0
-        self._search(group, out)
-        return out
-
-    def _search(self, group: list[tuple[int, np.ndarray]], out: list[list]) -> None:
+        for n, raw in enumerate(texts):
+            text = normalized(raw)
+            short[n] = self._short(text)
+            codes = _codes(text)
+            for begin in range(0, max(1, len(codes) - overlap), SLICE):  # pieces of a long text overlap by an occurrence and its band
+                group.append((n, begin, codes[begin : begin + SLICE + overlap]))
+                size += len(group[-1][2])
+                if size >= SLICE:
+                    self._search(group, best)
+                    group, size = [], 0
+        self._search(group, best)
+        return [sorted([(self.ids[item], *hit) for item, hit in hits.items()] + more) for hits, more in zip(best, short, strict=True)]
+
+    def _short(self, text: str) -> list[tuple[int, int, int, int]]:
+        """The first occurrence, as they are, of items too short for edits, between characters that are not of a word."""
+        found: dict[tuple[int, str], int] = {}
+        for m in TOKEN.finditer(text) if self.short else ():
+            for item in self.short.get(m[0], ()):
+                at = m.start()
+                if item not in found and text.startswith(item[1], at) and not (text[at + len(item[1]) : at + len(item[1]) + 1].isalnum() and item[1][-1].isalnum()):
+                    found[item] = at
+        return [(i, at, at + len(t), 0) for (i, t), at in found.items()]
+
+    def _search(self, group: list[tuple[int, int, np.ndarray]], best: list[dict[int, tuple[int, int, int]]]) -> None:
         if not group:
             return
         stop = np.array([_BREAK], dtype=np.uint32)
-        joined = np.concatenate([x for _, c in group for x in (c, stop)])
-        starts = np.cumsum([0] + [len(c) + 1 for _, c in group])
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        joined = np.concatenate([x for _, _, c in group for x in (c, stop)])
+        starts = np.cumsum([0] + [len(c) + 1 for _, _, c in group])
         for item, low, high in self.bands(joined):
             m, k = int(self.length[item]), int(self.edits[item])
             # The band may reach over a break: look into each text it touches.
@@ -143,13 +180,12 @@ class Items:
             last = min(len(group) - 1, int(np.searchsorted(starts, max(high + m, 0), "right")) - 1)
             for g in range(first, last + 1):
                 a, b = max(low, int(starts[g])), min(high + m + k, int(starts[g + 1]) - 1)
-                if b - a < m - k:
+                hits, shift = best[group[g][0]], group[g][1] - int(starts[g])
+                if b - a < m - k or item in hits and hits[item][2] == 0:
                     continue
                 hit = _exact(self.codes[item], joined[a:b]) or align(self.codes[item], joined[a:b], k)
-                if hit and ((g, item) not in best or hit[2] < best[g, item][2]):
-                    best[g, item] = (a - int(starts[g]) + hit[0], a - int(starts[g]) + hit[1], hit[2])
-        for (g, item), hit in sorted(best.items()):
-            out[group[g][0]].append((self.ids[item], *hit))
+                if hit and (item not in hits or hit[2] < hits[item][2]):
+                    hits[item] = (a + shift + hit[0], a + shift + hit[1], hit[2])
 
 
 def _exact(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int] | None:
@@ -215,18 +251,17 @@ def _indexed(items: tuple[tuple[int, str], ...]) -> Items:
 def _finder(items: list[tuple[int, str]]):
     fixed = tuple(items)
 
-    @F.pandas_udf("array<struct<item_id: bigint, start: int, end: int, edits: int>>")
     def find(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"item_id": i, "start": a, "end": b, "edits": e} for i, a, b, e in hits] for hits in _indexed(fixed).search(list(texts))])
 
-    return find
+    return vectorized(find, "array<struct<item_id: bigint, start: int, end: int, edits: int>>")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each input row and item that occurs in it: id, item_id, start, end, edits (in the normalised text).
 
-    Null and empty texts, and items that are null or shorter than SHORTEST, have no occurrence.  Repeated rows
-    give repeated results, and an item id with several texts is looked for by each.
+    Null and empty texts and items have no occurrence.  Items shorter than SHORTEST occur only as they are, as
+    whole words.  Repeated rows give repeated results, and an item id with several texts is looked for by each.
     """
     kept = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
     found = [kept.select("id", F.explode(_finder(items)("text")).alias("hit")).select("id", "hit.*") for items in blocks(benchmark, item_col, item_text)]
