@@ -2,9 +2,12 @@
 
 Every source gets a target number of words.  Whole copies that the target certainly holds are allocated first;
 the remainder is a fixed-size sample: documents are ranked by their random odds u/(1-u) divided by their inclusion
-odds, and taken from the lowest rank up until the remaining words are reached.  The random number is a digest
-of the id and a seed, so reruns agree.  The rank at which a source stops comes from a histogram of ranks
-(combined before the shuffle), and only the documents of the one bin it falls into are ever put in order.
+odds, and taken from the lowest rank up until the remaining words are reached.  Inclusion odds are those of the share
+of the source that is needed times a measure of the document, by default the square root of its size, so longer
+documents are likelier.  The random number is a digest
+of the id and a seed, so reruns agree.  The rank at which a source stops comes from histograms of ranks
+(combined before the shuffle), each within one bin of the one before until that bin is small, and only its documents
+are ever put in order.  Sources that need no remainder are not ranked at all.
 """
 
 from __future__ import annotations
@@ -16,8 +19,8 @@ from phonoscope.llm.common import WORD, materialize, row_of, small, text_of
 
 #: Weights by rank of the source's name, repeating; share of all words; most copies of a document.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-#: Bins of the histogram of ranks, for each source, and bins that are first taken together.
-BINS, COARSE = 4096, 64
+#: Bits of a rank's place, bits that each histogram tells apart, and documents of a bin that are put in order by one task.
+PLACE, STEP, ORDERED = 48, 12, 4096
 _TWO52 = float(1 << 52)
 
 
@@ -51,16 +54,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per input row: row (struct of all input columns), size, source_size, target, copies, taken.
 
     size counts words (null text: 0); a null source is a source of its own.  Rows with one id share their random
-    number and are ordered by size.  `odds` may name a positive column that multiplies a row's inclusion
-    odds.  A source without words has target 0; an empty table gives an empty result.
+    number and are ordered by size; of one size they are taken together.  `odds` may name a positive column that multiplies a row's inclusion
+    odds in place of the square root of its size.  A source without words has target 0; an empty table gives an empty result.
     """
     sized = docs.select(
         row_of(docs).alias("row"),
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
-        (F.col(f"`{odds}`").cast("double") if odds else F.lit(1.0)).alias("odds"),
+        (F.col(f"`{odds}`").cast("double") if odds else F.lit(None).cast("double")).alias("odds"),
     )
+    sized = sized.withColumn("odds", F.coalesce("odds", F.sqrt(F.greatest("size", F.lit(1)))))
     # A source's key is never null, so that the null source joins as any other does.
     sized = sized.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     facts = materialize(sized.select("id", "source", "key", "size", "odds"))
@@ -71,44 +75,50 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     per = per.withColumn("share", F.when(filled, F.col("need") / F.col("source_size")).otherwise(F.lit(0.0)))
     per = small(materialize(per), 256)
 
-    # Where each source stops: the first bin whose words reach past what is needed.
-    words = materialize(_ranked(facts, per, seed).groupBy("key", "need", "bin").agg(F.sum("size").alias("words")))
-    words = words.withColumn("coarse", F.floor(F.col("bin") / COARSE))
-    sums = words.groupBy("key", "need", "coarse").agg(F.sum("words").alias("words"))
-    outer = _first_past(sums, "coarse", F.lit(0)).select("key", "coarse", "before")
-    stops = _first_past(words.join(small(materialize(outer), 96), ["key", "coarse"]), "bin", F.col("before")).select("key", F.struct("bin", "before").alias("stop"))
-    per = small(materialize(per.join(stops, "key", "left").select(*per.columns, "stop.bin", "stop.before").withColumnRenamed("bin", "stop_bin")), 256)
+    # Where each source stops: the first bin whose words reach past what is needed, and in it the first of its bins, until one is small.
+    ranked = _ranked(facts, per, seed).where("need > 0")
+    stops = per.where("need > 0").select("key", F.lit(0).cast("long").alias("bin"), F.lit(0.0).alias("before"))
+    bits = 0
+    while bits < PLACE:
+        within = ranked.join(small(materialize(stops), 48), "key").where(F.shiftright("place", PLACE - bits) == F.col("bin"))
+        bits += STEP
+        bins = within.groupBy("key", "need", "before", F.shiftright("place", PLACE - bits).alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        stops = materialize(_first_past(materialize(bins)))
+        if (stops.agg(F.max("n")).first()[0] or 0) <= ORDERED:
+            break
+    per = small(materialize(per.join(stops.select("key", "bin", "before"), "key", "left")), 256)
 
     # In that bin alone documents are put in order; one is taken if its middle word still is.
-    ordered = _ranked(facts, per, seed).where(F.col("bin") == F.col("stop_bin"))
+    place = F.shiftright("place", PLACE - bits)
+    last = _ranked(facts, per, seed).where((F.col("need") > 0) & (place == F.col("bin")))
+    last = last.groupBy("key", "need", "before", "rank", "id", "size").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("key").orderBy("rank", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ordered = ordered.withColumn("middle", F.col("before") + F.sum("size").over(upto) - F.col("size") / 2)
-    last = ordered.where(F.col("middle") <= F.col("need")).groupBy("key").agg(F.max(F.struct("rank", "id", "size")).alias("last"))
+    last = last.withColumn("middle", F.col("before") + F.sum("words").over(upto) - F.col("words") / 2)
+    last = last.where(F.col("middle") <= F.col("need")).groupBy("key").agg(F.max(F.struct("rank", "id", "size")).alias("last"))
     per = small(materialize(per.join(last, "key", "left")), 320)
 
     chosen = _ranked(sized, per, seed)
     here = F.struct("rank", "id", "size")
-    extra = F.when(F.col("bin") < F.coalesce("stop_bin", F.lit(BINS)), 1).when((F.col("bin") == F.col("stop_bin")) & (here <= F.col("last")), 1).otherwise(0)
-    extra = F.when((F.col("share") > 0) & (F.col("size") > 0), extra).otherwise(0)
+    extra = F.when((F.col("need") > 0) & (F.col("size") > 0) & ((place < F.col("bin")) | ((place == F.col("bin")) & (here <= F.col("last")))), 1).otherwise(0)
     chosen = chosen.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(F.lit(0)).cast("long"))
     return chosen.select("row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def _first_past(sums: DataFrame, place: str, before: Column) -> DataFrame:
-    """The first place of each key whose words, with those before it, reach what is needed, and the words before it."""
-    upto = Window.partitionBy("key").orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = sums.withColumn("end", before + F.sum("words").over(upto)).where(F.col("end") >= F.col("need"))
-    found = ends.groupBy("key").agg(F.min(F.struct(place, (F.col("end") - F.col("words")).alias("before"))).alias("f"))
-    return found.select("key", f"f.{place}", "f.before")
+def _first_past(bins: DataFrame) -> DataFrame:
+    """key, bin, before, n: the first bin of each key whose words, with those before it, reach what is needed, the words before it and its rows."""
+    upto = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = bins.withColumn("end", F.col("before") + F.sum("words").over(upto)).where(F.col("end") >= F.col("need"))
+    found = ends.groupBy("key").agg(F.min(F.struct("bin", (F.col("end") - F.col("words")).alias("before"), "n")).alias("f"))
+    return found.select("key", "f.*")
 
 
 def _ranked(rows: DataFrame, per: DataFrame, seed: str) -> DataFrame:
-    """rows with their source's columns, the Pareto rank and its bin."""
+    """rows with their source's columns, the Pareto rank and its place, a whole number of PLACE bits that grows with it."""
     u = uniform(F.col("id"), seed)
     odds = F.col("share") / (1 - F.col("share")) * F.col("odds")
-    rank = F.when(F.col("share") > 0, u / (1 - u) / odds).otherwise(F.lit(0.0))
+    rank = F.when(F.col("need") > 0, u / (1 - u) / odds).otherwise(F.lit(0.0))
     rows = rows.join(per, "key").withColumn("rank", rank)
-    return rows.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS))
+    return rows.withColumn("place", F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * float(1 << PLACE)), F.lit((1 << PLACE) - 1)).cast("long"))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
@@ -146,7 +156,7 @@ WITH sized AS (
   FROM needs
 ), ranked AS (
   SELECT doc_id, size, source_size, target, whole, need, share,
-         sum(size) OVER (PARTITION BY s.source ORDER BY CASE WHEN share > 0 THEN u / (1 - u) / (share / (1 - share)) ELSE 0.0::DOUBLE END, doc_id, size
+         sum(size) OVER (PARTITION BY s.source ORDER BY CASE WHEN share > 0 THEN u / (1 - u) / (share / (1 - share) * sqrt(greatest(size, 1))) ELSE 0.0::DOUBLE END, doc_id, size
                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0::DOUBLE AS middle
   FROM sized s JOIN shares p ON s.source IS NOT DISTINCT FROM p.source
 )
