@@ -1,10 +1,11 @@
-"""Suffix-array dedup: depth-limited radix sort of suffixes, exact over bytes and the whole corpus.
+"""Suffix-array dedup: depth-limited radix sort of suffixes over the bytes of the whole corpus.
 
 Suffixes are told apart only through LENGTH bytes, by most-significant-digit passes whose groups of one leave, so that the
 groups left in the end are exactly the repeated windows.  Which digit comes first is free, and ours is chosen so that few
 suffixes need to travel: of the GRAM-byte strings in a window the one with the least hash (the leftmost, on ties) is
 its first digit, which depends on the window's bytes alone.  Neighbouring windows with one such anchor form a run and
-travel as one row.  The second digit is the whole run: a run that has appeared before repeats as a whole.  Only distinct runs that share
+travel as one row.  The second digit is the whole run, by a 64-bit digest that only runs of one anchor are compared by: a run that has
+appeared before repeats as a whole.  Only distinct runs that share
 an anchor are then split into windows, and those sorted by the digits left, in the task that holds the
 anchor's few runs, or, for an anchor with very many, by passes over the cluster that halve the windows of a run.
 """
@@ -20,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phonoscope.llm.common import BROADCAST_BYTES, materialize, vectorized, with_rid
+from phonoscope.llm.common import BROADCAST_BYTES, materialize, small, vectorized, with_rid
 
 #: Bytes of a repeated string, bytes of an anchor, and bytes of a digit in the last passes.
 LENGTH, GRAM, DIGIT = 100, 24, 50
 #: An anchor with more distinct runs than this is sorted by passes over the cluster.
 CROWD = 64
-#: An anchor with more occurrences than HOT, or their share of HOTTEST, whichever is more, is not gathered in one task.
-HOT, HOTTEST = 10000, 1000
+#: An anchor with more occurrences than this is not gathered in one task.
+HOT = 10000
 #: Bytes that are scanned for anchors at once.
 SLICE = 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -166,15 +167,14 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     found = found.select("rid", F.inline(F.arrays_zip("a", "r", "s", "c")))
     # First digit: anchors that occur once leave.
     again = materialize(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"))
-    limit = max(HOT, (again.agg(F.sum("n")).first()[0] or 0) // HOTTEST)
-    alive = materialize(found.join(again.select("a", (F.col("n") > limit).alias("hot")), "a"))
+    alive = materialize(found.join(again.select("a", (F.col("n") > HOT).alias("hot")), "a"))
     # Second digit: of equal runs the first goes on; all others repeat it as a whole.
     marked = _second_digit(alive.where("not hot"))
     repeats = marked.where("not first").select("rid", "s", "c")
     hot = alive.where("hot").select("a", "r", "rid", "s", "c")
     hot_firsts = materialize(_firsts(hot, ["a", "r"]))
     repeats = materialize(repeats.unionByName(_others(hot, hot_firsts, ["rid", "s"], ["c"]).select("rid", "s", "c")))
-    many = F.broadcast(hot_firsts.groupBy("a").agg(F.count("*").alias("m")))  # HOTTEST rows at most
+    many = small(materialize(hot_firsts.groupBy("a").agg(F.count("*").alias("m"))), 16)
     firsts = marked.where("first and m > 1").select("a", "m", "rid", "s", "c").unionByName(hot_firsts.join(many, "a").where("m > 1").select("a", "m", "rid", "s", "c"))
     whole = repeats.select("rid", F.col("s").alias("b"), (F.col("s") + F.shiftright("c", 8) + LENGTH - 1).alias("e"))
     # Distinct runs that share an anchor go on, with their bytes.
@@ -304,3 +304,22 @@ def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     texts = with_rid(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id", "text")
     spans = repeated_spans(texts)
     return texts.join(_bounded(spans, "spans", 16), "rid", "left").select("row.doc_id", _report("text", "spans").alias("o")).select("doc_id", "o.*")
+
+
+ORACLE = {
+    "op8_suffix_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, b[i + 1:i + 100] AS s FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 99)) AS i FROM d WHERE octet_length(b) >= 100)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+marked AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, TRUE) AS fresh FROM again),
+numbered AS (SELECT doc_id, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, min(i) AS b, max(i) + 100 AS e FROM numbered GROUP BY doc_id, run),
+gone AS (SELECT doc_id, list([b, e] ORDER BY b) AS gone, CAST(sum(e - b) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id),
+cut AS (SELECT d.doc_id, d.b, n_removed, n_spans, list_concat([0], list_transform(coalesce(gone, []), lambda g: g[2])) AS f,
+               list_concat(list_transform(coalesce(gone, []), lambda g: g[1]), [octet_length(d.b)]) AS t
+        FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(list_reduce(list_transform(list_zip(f, t), lambda p: b[p[1] + 1:p[2]]), lambda x, y: x || y)) AS kept_sha256
+FROM cut
+"""
+}
