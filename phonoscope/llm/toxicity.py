@@ -21,12 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonoscope.llm.common import bucket_of, materialize, row_of, text_of
+from phonoscope.llm.common import bucket_of, materialize, row_of, small, text_of, vectorized
 
 #: About so many labelled rows of each class are drawn, by a hash of their id, to fit the classifier.
 SAMPLE = 3000
-#: Shortest and longest stem; a term needs so many toxic texts; terms of no effect that may be chosen; the most terms.
-STEM, LONGEST, SUPPORT, FALSE, TERMS = 4, 10, 3, 0.2, 400
+#: Shortest and longest stem (whole words may have any length); a term needs so many toxic texts; terms of no effect that may be chosen.
+STEM, LONGEST, SUPPORT, FALSE = 4, 10, 3, 0.2
 #: Jaccard similarity of their words from which two texts of a class count once.
 LIKE = 0.7
 #: Edits allowed in a whole word or a stem of at least so many letters.
@@ -36,8 +36,8 @@ WINDOW, QUOTED = 60, 0.4
 REPORTS = re.compile(r"\b(?:said|says|called|calls|quoted?|wrote|word|words|term|phrase|sagte|nannte|wort|dijo|llamó|palabra|dit|appelé|mot)\b")
 TOKEN = re.compile(r"[^\W_]+")
 _RUN = re.compile(r"(.)\1{2,}")
-#: Words whose reading is remembered in each Python worker.
-REMEMBERED = 1 << 18
+#: Words whose reading is remembered in each Python worker, and states of the machine that are kept.
+REMEMBERED, STATES = 1 << 18, 1 << 15
 
 
 def edits_for(term: str) -> int:
@@ -66,6 +66,11 @@ class Machine:
                 node = self.child[node][c]
                 self.most[node] = max(self.most[node], k)
             self.ends[node].append(number)
+        self.seen: dict[str, tuple] = {}
+        self._begin()
+
+    def _begin(self) -> None:
+        """Forget the states made so far, so that rare words cannot fill the memory."""
         self.ids: dict[frozenset, int] = {}
         self.sets: list[dict[int, int]] = []
         self.moves: list[dict[str, int]] = []
@@ -73,7 +78,6 @@ class Machine:
         self.wholes: list[tuple] = []
         self.dead = self._state({})
         self.start = self._state({0: 0})
-        self.seen: dict[str, tuple] = {}
 
     def _state(self, reached: dict[int, int]) -> int:
         """The state for trie nodes with their least edits, letters missing from the word included."""
@@ -107,6 +111,8 @@ class Machine:
         """(term, edits) of the terms that the word is, or begins with, fewest edits first."""
         hits = self.seen.get(word)
         if hits is None:
+            if len(self.sets) > STATES:
+                self._begin()
             best: dict[int, int] = {}
             state, moves = self.start, self.moves
             for c in _RUN.sub(r"\1", word):
@@ -156,7 +162,10 @@ def _drawn(docs: DataFrame, labels: DataFrame) -> DataFrame:
     limit = F.when(F.col("toxic"), SAMPLE / max(n.get(True, 0), 1)).otherwise(SAMPLE / max(n.get(False, 0), 1))
     ids = labelled.where(u < limit)  # about 2 * SAMPLE rows, whatever the size of the tables
     texts = docs.select("doc_id", text_of("text").alias("text"))
-    return materialize(texts.join(F.broadcast(ids), "doc_id").select("toxic", "text").distinct())
+    rows = materialize(texts.join(small(materialize(ids), 16), "doc_id").select("toxic", "text").distinct())
+    # Where ids repeat, rows are more than ids: they are drawn again, by their texts.
+    share = 3 * SAMPLE / max(rows.count(), 1)
+    return rows if share >= 1 else materialize(rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))))
 
 
 def unlike(rows: Iterable[tuple[bool, str]]) -> Iterator[tuple[bool, set[str]]]:
@@ -167,7 +176,7 @@ def unlike(rows: Iterable[tuple[bool, str]]) -> Iterator[tuple[bool, set[str]]]:
     """
     families: dict[tuple, list[np.ndarray]] = defaultdict(list)
     for toxic, text in sorted(rows):
-        words = {w for w in TOKEN.findall(text.lower()) if len(w) >= STEM}
+        words = set(TOKEN.findall(text.lower()))
         if not words:
             continue
         codes = np.unique(np.fromiter((crc32(w.encode()) for w in words), dtype=np.uint64, count=len(words)))
@@ -212,7 +221,7 @@ def learn_lexicon(rows: Iterable[tuple[bool, str]]) -> list[str]:
     chosen: list[str] = []
     least = 2 * math.log(max(len(tried), 1) / FALSE)  # a statistic that so many terms of no effect reach about FALSE times in all
     for g, _, t in tried:
-        if g < least or len(chosen) == TERMS:
+        if g < least:
             break
         stem = t.removesuffix("$")
         if not any(stem.startswith(c.removesuffix("$")) or c.startswith(stem) for c in chosen):
@@ -235,7 +244,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def features(hits: list[tuple[int, int, bool]], words: int, weights: dict[tuple[int, int], float]) -> list[float]:
-    """The strongest hit, the sum of all up to a limit, and the sum for each word."""
+    """The strongest hit, the sum of all, and the sum for each word; both sums level off, so that long texts stay in the range that was learned."""
     values = [weights.get((t, e), 0.0) * (QUOTED if quoted else 1.0) for t, e, quoted in hits]
     total = sum(v for v in values if v > 0)
     return [max([0.0, *values]), min(total, 30.0) / 3, min(10 * total / max(words, 1), 5.0)]
@@ -293,11 +302,10 @@ def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     gives every text the same low score.  Repeated rows score alike.
     """
 
-    @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([score_text(t, model) for t in texts], dtype="float64")
 
-    return docs.select(row_of(docs).alias("row"), score(text_of(text_col)).alias("score"))
+    return docs.select(row_of(docs).alias("row"), vectorized(score, "double")(text_of(text_col)).alias("score"))
 
 
 def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
