@@ -17,11 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonoscope.llm.common import bucket_of, materialize, row_of, text_of
+from phonoscope.llm.common import bucket_of, materialize, row_of, text_of, vectorized
 
 #: Features that n-grams are hashed to, and the longest n-gram.
 FEATURES, LONGEST = 1 << 15, 3
-#: About so many rows in all are drawn to fit the regression, by a hash of their id; every fifth sets the temperature.
+#: About so many rows in all are drawn to fit the regression, by a hash of their id and text; every fifth sets the temperature.
 SAMPLE, ASIDE = 3000, 5
 #: Follow-the-regularised-leader: learning rate, its smoothing, the two penalties, and passes over the sample.
 RATE, SMOOTH, LASSO, RIDGE, PASSES = 0.5, 1.0, 0.002, 0.001, 4
@@ -136,9 +136,9 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     langs = sorted(sizes)
     if not langs:
         return {"langs": [], "idf": _packed(idf), "w": "", "t": 1.0}
-    u = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
+    u = F.pmod(F.xxhash64(F.col("id").cast("string"), F.col("text"), F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
     limit = F.coalesce(F.element_at(F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(SAMPLE / len(langs) / sizes[g]))]), F.col("lang")), F.lit(0.0))
-    sample = materialize(known.where(u < limit))
+    sample = materialize(known.where(u < limit).distinct())  # rows that repeat with id and text count once
     fixed = _packed(idf)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,14 +182,13 @@ def predict(text: str, model: dict) -> tuple[str, float]:
 def identified(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """One row per input row: row (struct of all input columns), lang_pred, score.
 
-    Null texts and texts without a letter are `und` with score 0, and so is every text if no language was learned.
+    Of equally likely languages the first by code point is given.  Null texts and texts without a letter are `und` with score 0, and so is every text if no language was learned.
     """
 
     def best(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([predict(t, model) for t in texts], columns=["lang_pred", "score"])
 
-    best.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    guess = F.pandas_udf(best, "struct<lang_pred: string, score: double>")
+    guess = vectorized(best, "struct<lang_pred: string, score: double>")
     return docs.select(row_of(docs).alias("row"), guess(text_of(text_col)).alias("g")).select("row", "g.*")
 
 
