@@ -164,7 +164,7 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         if not len(batch):
             continue
         named = batch[keys].astype(object).where(batch[keys].notna(), None)
-        new = (named != named.shift()).any(axis=1) & ~((named.isna() & named.shift().isna()).all(axis=1))
+        new = ((named != named.shift()) & ~(named.isna() & named.shift().isna())).any(axis=1)
         new.iloc[0] = True
         cuts = [*np.flatnonzero(new), len(batch)]
         for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -255,3 +255,68 @@ def formatted(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
 def op9_chat_format(spark, sf_dir: str) -> DataFrame:
     made = formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return made.withColumn("conv_id", F.col("conv").cast("long")).select("conv_id", "turn", "rank", "sub", "role_in", "action", "role", "rendered")
+
+
+ORACLE = {
+    "op9_chat_format": """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, role AS role_in, coalesce(text, '') AS text,
+         CASE WHEN lower(trim(role)) IN ('system', 'user', 'assistant') THEN lower(trim(role)) ELSE 'other' END AS role,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, coalesce(text, '')) - 1 AS rank,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations
+), named(state, label) AS (VALUES (0, ''), (1, 'system'), (2, 'user'), (3, 'assistant')),
+roles(role) AS (VALUES ('system'), ('user'), ('assistant'), ('other')),
+steps AS (
+  -- From a state to a state by a turn: a change of role, and a merge, an empty user message, or nothing besides.
+  SELECT role, a.state AS a, b.state AS b, CASE WHEN a.state = b.state THEN 'merge' WHEN role = b.label THEN 'keep' ELSE 'relabel' END AS action,
+         a.state <> b.state AND b.state = 3 AND a.state <> 2 AS inserts,
+         CASE WHEN role = b.label THEN 0 WHEN role = 'other' THEN 1 ELSE 3 END + CASE WHEN a.state = b.state THEN 2 WHEN b.state = 3 AND a.state <> 2 THEN 4 ELSE 0 END AS cost
+  FROM roles, named a, named b
+  WHERE b.state > 0 AND (a.state = b.state OR b.state > 1 OR a.state = 0)
+), costs AS (
+  SELECT role, [coalesce(max(CASE WHEN a = 0 AND b = 1 THEN cost END), 1000000000), coalesce(max(CASE WHEN a = 1 AND b = 1 THEN cost END), 1000000000)] AS s,
+         list(cost ORDER BY a) FILTER (b = 2) AS u, list(cost ORDER BY a) FILTER (b = 3) AS v
+  FROM steps GROUP BY role
+), priced AS (SELECT t.conv_id, t.rank, t.n, c.s, c.u, c.v FROM turns t JOIN costs c USING (role)),
+ahead AS (
+  SELECT conv_id, -1::BIGINT AS rank, [0::BIGINT, 1000000000, 1000000000, 1000000000] AS c FROM turns GROUP BY conv_id
+  UNION ALL
+  SELECT p.conv_id, p.rank, [1000000000::BIGINT, least(c[1] + s[1], c[2] + s[2]),
+         least(c[1] + u[1], c[2] + u[2], c[3] + u[3], c[4] + u[4]), least(c[1] + v[1], c[2] + v[2], c[3] + v[3], c[4] + v[4])]
+  FROM ahead a JOIN priced p ON p.conv_id IS NOT DISTINCT FROM a.conv_id AND p.rank = a.rank + 1
+), before AS (SELECT p.*, a.c FROM priced p JOIN ahead a ON p.conv_id IS NOT DISTINCT FROM a.conv_id AND a.rank = p.rank - 1),
+ends AS (
+  SELECT a.conv_id, a.rank, [c[1] + 8, c[2] + 8, c[3] + 4, c[4]] AS e
+  FROM ahead a JOIN priced p ON p.conv_id IS NOT DISTINCT FROM a.conv_id AND p.rank = a.rank AND p.rank = p.n - 1
+), back AS (
+  -- The state after each turn, and the one before it, from the last turn to the first; of equal ones the first.
+  SELECT conv_id, rank, list_position(e, list_min(e)) - 1 AS state FROM ends
+  UNION ALL
+  SELECT b.conv_id, b.rank - 1,
+         CASE k.state WHEN 1 THEN list_position([c[1] + s[1], c[2] + s[2]], least(c[1] + s[1], c[2] + s[2]))
+           WHEN 2 THEN list_position([c[1] + u[1], c[2] + u[2], c[3] + u[3], c[4] + u[4]], least(c[1] + u[1], c[2] + u[2], c[3] + u[3], c[4] + u[4]))
+           ELSE list_position([c[1] + v[1], c[2] + v[2], c[3] + v[3], c[4] + v[4]], least(c[1] + v[1], c[2] + v[2], c[3] + v[3], c[4] + v[4])) END - 1
+  FROM back k JOIN before b ON b.conv_id IS NOT DISTINCT FROM k.conv_id AND b.rank = k.rank
+), taken AS (
+  SELECT t.*, x.action, x.inserts, n2.label, y.state
+  FROM turns t
+  JOIN back y ON y.conv_id IS NOT DISTINCT FROM t.conv_id AND y.rank = t.rank
+  JOIN back z ON z.conv_id IS NOT DISTINCT FROM t.conv_id AND z.rank = t.rank - 1
+  JOIN steps x ON x.role = t.role AND x.a = z.state AND x.b = y.state
+  JOIN named n2 ON n2.state = y.state
+), made AS (
+  SELECT conv_id, turn, rank, 0 AS sub, NULL AS role_in, 'insert' AS action, 'user' AS role, '' AS text FROM taken WHERE inserts
+  UNION ALL
+  SELECT conv_id, turn, rank, CAST(inserts AS INTEGER), role_in, action, label, text FROM taken
+  UNION ALL
+  SELECT conv_id, turn, rank, CAST(inserts AS INTEGER) + 1, NULL, 'insert', 'user', '' FROM taken WHERE rank = n - 1 AND state < 2
+  UNION ALL
+  SELECT conv_id, turn, rank, CAST(inserts AS INTEGER) + CASE WHEN state < 2 THEN 2 ELSE 1 END, NULL, 'insert', 'assistant', '' FROM taken WHERE rank = n - 1 AND state < 3
+)
+SELECT conv_id, turn, rank, CAST(sub AS INTEGER) AS sub, role_in, action, role,
+       CASE WHEN action = 'merge' THEN chr(10) || chr(10) WHEN rank = 0 AND sub = 0 THEN '<|' || role || '|>' || chr(10) ELSE '<|end|>' || chr(10) || '<|' || role || '|>' || chr(10) END
+       || text || CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY rank DESC, sub DESC) = 1 THEN '<|end|>' || chr(10) ELSE '' END AS rendered
+FROM made
+"""
+}

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLES = {**mixing.ORACLE, **suffix_dedup.ORACLE, **exact_dedup.ORACLE}
+ORACLES = {**mixing.ORACLE, **suffix_dedup.ORACLE, **chat_format.ORACLE, **exact_dedup.ORACLE}
