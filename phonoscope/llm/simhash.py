@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonoscope.llm.common import materialize, small, text_of
+from phonoscope.llm.common import materialize, release, small, text_of, vectorized
 from phonoscope.llm.graph import components
 
 BITS = 64
@@ -32,8 +32,21 @@ CHUNK = 1 << 15
 CROWD = 48
 #: What a probe costs besides its rows, in rows: it is an expression in the plan.
 PROBE = 2000
-#: Texts handed to Python at once.
-BATCH = 256
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes (unsigned) have each bit set."""
+    bits = np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def _most(ones: np.ndarray, count: int) -> int:
+    return int(np.packbits(ones * 2 > count, bitorder="little").view("<u8")[0])
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have set."""
+    return _most(sum((_ones(hashes[at : at + CHUNK]) for at in range(0, len(hashes), CHUNK)), np.zeros(BITS, dtype=np.int64)), len(hashes))
 
 
 def fingerprint(words: list[bytes], width: int) -> int:
@@ -43,9 +56,8 @@ def fingerprint(words: list[bytes], width: int) -> int:
     for at in range(0, count, CHUNK):
         part = words[at : at + CHUNK + width - 1]
         shingles = map(b" ".join, zip(*[part[k:] for k in range(width)], strict=False)) if len(part) >= width else [b" ".join(part)]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > count, bitorder="little").view("<u8")[0])
+        ones += _ones(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype="<u8"))
+    return _most(ones, count)
 
 
 def _signed(value: int) -> int:
@@ -54,13 +66,11 @@ def _signed(value: int) -> int:
 
 def with_fingerprints(docs: DataFrame, text_col: str, width: int, keep: dict) -> DataFrame:
     """The columns of `keep` (name: expression) and fp, the text's fingerprint as a signed long."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
-    @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([_signed(fingerprint(t.encode("utf-8", "replace").lower().split(), width)) for t in texts], dtype="int64")
 
-    return docs.select(*[e.alias(n) for n, e in keep.items()], fp(text_of(text_col)).alias("fp"))
+    return docs.select(*[e.alias(n) for n, e in keep.items()], vectorized(fp, "long")(text_of(text_col)).alias("fp"))
 
 
 def _bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -171,7 +181,9 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     near = lambda x: lambda y: (y["fp"] > x["fp"]) & (x["own"] | y["own"]) & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= distance)
     pairs = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", near(x)), lambda y: F.struct(x["fp"].alias("u"), y["fp"].alias("v")))))
     found = few.select(F.explode(pairs).alias("p")).select("p.u", "p.v")
-    return found.unionByName(_by_midpoints(shared.where(F.col("n") > CROWD).select("fp").distinct(), distance)).distinct()
+    out = materialize(found.unionByName(_by_midpoints(shared.where(F.col("n") > CROWD).select("fp").distinct(), distance)).distinct())
+    release(shared)
+    return out
 
 
 def _by_midpoints(fps: DataFrame, distance: int) -> DataFrame:
