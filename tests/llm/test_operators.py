@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -145,9 +146,10 @@ def words_of(rng, n):
     return ["".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(n)]
 
 
-@pytest.mark.parametrize("crowd", [2, 48])
-def test_near_copies(spark, crowd, monkeypatch):
-    monkeypatch.setattr(near_copies, "CROWD", crowd)
+@pytest.mark.parametrize(("crowd", "block", "many"), [(2, 4, 1), (48, 512, 4)])
+def test_near_copies(spark, crowd, block, many, monkeypatch):
+    for name, value in (("CROWD", crowd), ("BLOCK", block), ("MANY", many)):
+        monkeypatch.setattr(near_copies, name, value)
     rng = random.Random(8)
     texts = []
     for _ in range(6):
@@ -167,9 +169,10 @@ def test_near_copies(spark, crowd, monkeypatch):
     assert all(len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v]) for u, v in links)
 
 
-@pytest.mark.parametrize("crowd", [2, 48])
-def test_near_copies_with_block_edits(spark, crowd, monkeypatch):
-    monkeypatch.setattr(near_copies, "CROWD", crowd)
+@pytest.mark.parametrize(("crowd", "block", "many"), [(2, 512, 4), (2, 4, 1), (48, 512, 4)])
+def test_near_copies_with_block_edits(spark, crowd, block, many, monkeypatch):
+    for name, value in (("CROWD", crowd), ("BLOCK", block), ("MANY", many)):
+        monkeypatch.setattr(near_copies, name, value)
     rng = random.Random(33)
     texts = []
     for n in [60, 120, 300, 600] * 8:
@@ -215,6 +218,25 @@ def test_mixing_meets_its_targets(spark):
     assert sum(target.values()) == pytest.approx(1.5 * sum(r.size for r in rows))
 
 
+@pytest.mark.parametrize("ordered", [2, 4096])
+def test_mixing_puts_few_in_order(spark, ordered, monkeypatch):
+    monkeypatch.setattr(mixing, "ORDERED", ordered)
+    rng = random.Random(14)
+    source = lambda k: "hot" if k % 3 else "abc"[k % 5 % 3]
+    docs = spark.createDataFrame([(k, "w " * rng.randrange(1, 30), source(k)) for k in range(900)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs).collect()
+    size, taken, target = Counter(), Counter(), {}
+    for r in rows:
+        s = r.row.source
+        size[s] += r.size
+        taken[s] += r.taken
+        target[s] = r.target
+        assert r.copies in (0, 1, 2)
+    full = [s for s in target if target[s] == 2 * size[s]]
+    assert full and all(r.copies == 2 for r in rows if r.row.source in full and r.size)
+    assert all(abs(taken[s] - target[s]) <= 30 for s in target)
+
+
 def test_mixing_odd_rows_and_odds(spark, odd):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count() and all(r.taken == r.copies * r.size <= 2 * r.size for r in rows)
@@ -255,6 +277,48 @@ def test_machine_finds_words_within_their_edits():
         assert dict(machine.read(word)) == want, word
 
 
+def test_machine_forgets_states(monkeypatch):
+    rng = random.Random(12)
+    terms = ["idiot$", "worthless$", "scumbag"]
+    words = ["".join(rng.choice("idotwrhlescumbag") for _ in range(rng.randrange(4, 12))) for _ in range(2000)] + ["idiots", "worthles"]
+    whole = toxicity.Machine(terms)
+    wanted = [whole.read(w) for w in words]
+    monkeypatch.setattr(toxicity, "STATES", 20)
+    few = toxicity.Machine(terms)
+    assert [few.read(w) for w in words] == wanted and len(few.sets) < len(whole.sets)
+
+
+def test_toxicity_against_a_plain_scorer(spark):
+    labels = spark.read.parquet(f"{SIZE}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.train(spark.read.parquet(f"{SIZE}/documents.parquet").select("doc_id", "text"), labels)
+    found = {r.doc_id: r.score for r in toxicity.op1_toxicity(spark, SIZE).collect()}
+    read = {}
+
+    def hits(word):
+        word = toxicity._RUN.sub(r"\1", word)
+        if word not in read:
+            best = []
+            for t, term in enumerate(model["terms"]):
+                plain, k = term.removesuffix("$"), toxicity.edits_for(term)
+                options = [word] if term.endswith("$") else [word[:n] for n in range(max(0, len(plain) - k), min(len(word), len(plain) + k) + 1)]
+                d = min((plain_distance(o, plain) for o in options if abs(len(o) - len(plain)) <= k), default=99)
+                if d <= k:
+                    best.append((d, t))
+            read[word] = min(best, default=None)
+        return read[word]
+
+    for i, text in documents(spark).items():
+        text = text.lower()
+        values, words = [0.0], 0
+        for m in toxicity.TOKEN.finditer(text):
+            words += 1
+            if hit := hits(m[0]):
+                values.append(model["weights"].get((hit[1], hit[0]), 0.0) * (toxicity.QUOTED if toxicity.is_quoted(text, m.start(), m.end()) else 1.0))
+        total = sum(v for v in values if v > 0)
+        z = sum(a * b for a, b in zip([max(values), min(total, 30.0) / 3, min(10 * total / max(words, 1), 5.0), 1.0], model["w"], strict=True))
+        assert found[i] == pytest.approx(1 / (1 + np.exp(-max(-30, min(30, z)))), abs=1e-9)
+
+
 def test_quotation_counts_less():
     model = {"terms": ["idiot$"], "weights": {(0, 0): 6.0, (0, 1): 3.0}, "w": [1.0, 1.0, 0.0, -5.0]}
     abuse, quoted, clean = (toxicity.score_text(t, model) for t in ("You are an idiot today", 'She said "idiot" is a word', "A calm text"))
@@ -288,6 +352,8 @@ def test_toxicity_on_odd_rows(spark, odd):
     some = spark.createDataFrame([(5, 1), (6, 0), (None, 1), (7, None), (5, 1)], "doc_id long, toxic int")
     for labels in (none, some):
         model = toxicity.train(odd, labels)
+        scores = {r.row.text: r.score for r in toxicity.scored(odd, model).collect()}
+        assert scores[None] == scores[""] == scores["x"] and all(0 <= s <= 1 for s in scores.values())
         assert toxicity.scored(odd, model).count() == odd.count() and toxicity.drop_toxic(odd, model).columns == odd.columns
     assert toxicity.scored(odd.limit(0), toxicity.train(odd.limit(0), some)).count() == 0
 
@@ -313,6 +379,45 @@ def test_languages_on_odd_rows(spark, odd):
     assert {r.lang_pred for r in language_id.identified(odd, none).collect()} == {"und"}
 
 
+def test_languages_against_a_plain_scorer(spark):
+    docs = spark.read.parquet(f"{SIZE}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(language_id.bucket_of("doc_id", 3) != 1))
+    idf, w = language_id._ready(model["idf"], model["w"], len(model["langs"]))
+    found = {r.doc_id: r for r in language_id.op2_language_id(spark, SIZE).collect()}
+    for i, text in documents(spark).items():
+        if len(text) > 4000:
+            continue
+        padded, counts = f" {' '.join(text.lower().split())} ", Counter()
+        for n in range(1, language_id.LONGEST + 1):
+            for p in range(len(padded) - n + 1):
+                code = 0
+                for k, c in enumerate(padded[p : p + n], 1):
+                    code = (code * 0x9E3779B97F4A7C15 + ord(c) + k) % 2**64
+                counts[code * 0xD6E8FEB86659FD93 % 2**64 >> 49] += 1
+        values = {f: (1 + np.log(c)) * float(idf[f]) for f, c in counts.items()}
+        norm = np.sqrt(sum(v * v for v in values.values()))
+        logits = [sum(float(w[g, f]) * v for f, v in values.items()) / norm + float(w[g, language_id.FEATURES]) for g in range(len(w))]
+        p = np.exp(np.array(logits) / model["t"] - max(logits) / model["t"])
+        best = model["langs"][int(p.argmax())] if any(map(str.isalpha, text)) else "und"
+        assert found[i].lang_pred == best
+        if best != "und":
+            assert found[i].score == pytest.approx(p.max() / p.sum(), abs=1e-4)
+
+
+def test_languages_of_an_empty_table(spark, odd):
+    model = language_id.train(odd.limit(0))
+    assert language_id.identified(odd.limit(0), model).columns == ["row", "lang_pred", "score"] and language_id.identified(odd.limit(0), model).count() == 0
+
+
+def test_samples_stay_bounded_where_ids_repeat(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 20)
+    monkeypatch.setattr(language_id, "SAMPLE", 40)
+    docs = spark.createDataFrame([(None if k % 2 else 1, f"text number {k} of many", "en" if k % 3 else "de") for k in range(600)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert 0 < toxicity._drawn(docs, labels).count() < 200
+    assert language_id.train(docs)["langs"] == ["de", "en"]
+
+
 def test_every_language_is_learned(spark):
     rows = [(i, f"l{i:03d}", f"text number {i}") for i in range(205)]
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
@@ -385,9 +490,27 @@ def test_leaks_on_odd_rows(spark, odd, monkeypatch):
     for block in (decontaminate.BLOCK, 50):
         monkeypatch.setattr(decontaminate, "BLOCK", block)
         assert {(r.id, r.item_id) for r in decontaminate.leaks(docs, benchmark).collect()} == {(70, 4)}
+    monkeypatch.setattr(decontaminate, "SLICE", 100)
+    assert {(r.id, r.item_id) for r in decontaminate.leaks(docs, benchmark).collect()} == {(70, 4)}
     assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0 and decontaminate.drop_leaks(docs.limit(0), benchmark).count() == 0
 
 
+def test_short_items_as_they_are():
+    items = decontaminate.Items([(1, "How many?"), (2, "forty two"), (3, "(b)"), (4, " \n")])
+    found = items.search(["so how  MANY? forty two (b)", "how manyx? forty twos (c)", ""])
+    assert [[h[0] for h in hits] for hits in found] == [[1, 2, 3], [], []]
+
+
+def test_leaks_in_texts_that_repeat_themselves():
+    import resource
+
+    items = decontaminate.Items([(1, "ha " * 1000), (2, "one " + "he " * 300 + "two")])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = items.search(["ha " * 60000, "ha " * 900, "x " * 50 + "one " + "he " * 300 + "two", "he " * 2000])
+    assert [[h[0] for h in hits] for hits in found] == [[1], [], [2], [2]] and found[0][0][3] == 0
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20  # KB
+
+
 # ---- token counts ----
 
 
@@ -536,6 +659,46 @@ def test_fuzzy_passages_against_full_alignment():
     assert true >= 60 and missed <= 0.05 * true
 
 
+def test_many_alignments_at_once():
+    rng = random.Random(24)
+    pairs = []
+    for n in [0, 30, 60, 80] * 20:
+        part = words_of(rng, n)
+        copy = [w for w in fuzzy_copy(rng, part, 0.1) if rng.random() > 0.05]
+        pairs.append(tuple((passage_dedup.word_codes(" ".join([*words_of(rng, rng.randrange(1, 50)), *p, *words_of(rng, rng.randrange(50))])) >> np.uint64(32)).astype(np.uint32) for p in (part, copy)))
+    alone = [passage_dedup.align(*p) for p in pairs]
+    assert passage_dedup.align_many(pairs) == alone and passage_dedup.align_many(pairs[::-1]) == alone[::-1]
+    for (a, b), hit in zip(pairs, alone, strict=True):
+        long = max(hit[1] - hit[0], hit[3] - hit[2]) if hit else 0
+        if long and min(hit[1] - hit[0], hit[3] - hit[2]) >= 50 and hit[4] >= 0.8 * long:
+            assert passage_dedup.may_hold(a, b)
+
+
+def test_seeds_lead_to_the_first_and_the_last_before():
+    import pandas as pd
+
+    rng = random.Random(25)
+    rows = sorted((h, -1 if h % 3 else rid % 2, rid, p) for h in range(40) for rid in rng.sample(range(12), rng.randrange(1, 9)) for p in rng.sample(range(50), rng.randrange(1, 3)))
+    for size in (1, 3, 1000):
+        batches = [pd.DataFrame(rows[k : k + size], columns=["h", "dealt", "rid", "p"]) for k in range(0, len(rows), size)]
+        found = sorted(r for b in passage_dedup._led(iter(batches)) for r in b.itertuples(index=False, name=None))
+        wanted = []
+        for h, d, rid, p in rows:
+            earlier = [(r, q) for g, e, r, q in rows if (g, e) == (h, d) and r < rid]
+            if earlier or d >= 0:
+                wanted.append((h if d >= 0 else 0, rid, p, bool(earlier), *(min(earlier) + max(earlier) if earlier else ())))
+        assert [r if r[3] else r[:4] for r in found] == sorted(wanted) or sorted(r if r[3] else r[:4] for r in found) == sorted(wanted)
+
+
+def test_hot_passages_are_led_to_the_first(spark, monkeypatch):
+    monkeypatch.setattr(passage_dedup, "CLASSES", 4)
+    rng = random.Random(26)
+    part = words_of(rng, 70)
+    texts = [" ".join([*words_of(rng, 30), *part, *words_of(rng, 30)]) for _ in range(60)] + [" ".join(words_of(rng, 90)) for _ in range(5)]
+    found = {r.id: r.first_id for r in passage_dedup.passages(table(spark, texts)).collect()}
+    assert set(found) == set(range(1, 60)) and all(f < i for i, f in found.items())
+
+
 def test_short_chain_off_the_diagonal_is_aligned():
     rng = random.Random(22)
     part = passage_dedup.word_codes(" ".join(words_of(rng, 60)))
@@ -560,10 +723,12 @@ def test_passages_whose_pieces_stand_in_earlier_rows(spark):
 def test_chains_use_the_tree():
     line = [(x, x + 100) for x in range(0, 40, 4)]
     noise = [(10, 300), (22, 5), (30, 131)]
-    chains = passage_dedup.chains([*line, *noise])
-    assert chains[0][0] == (0, 100) and chains[0][-1] == (36, 136) and (10, 300) not in chains[0] and (22, 5) not in chains[0]
+    chain = passage_dedup.chains([*line, *noise])[0]
+    assert chain[0][:2] == (0, 100) and chain[-1][1:3] == (100, 36) and {c[:2] for c in chain}.isdisjoint({(10, 290), (22, -17)})
     apart = passage_dedup.chains([(0, 0), (4, 4), (200, 200), (204, 204)])
-    assert sorted(len(c) for c in apart) == [2, 2]
+    assert sorted(apart) == [[(0, 0, 4, 8)], [(200, 0, 204, 8)]]
+    shifted = passage_dedup.chains([(0, 0), (4, 4), (10, 12), (14, 16)])
+    assert shifted == [[(0, 0, 4, 8), (10, 2, 14, 8)]] and passage_dedup.spans([(0, 0), (4, 4), (10, 12), (14, 16)]) == [(0, 18, 0, 20)]
     tree = passage_dedup.Fenwick(8)
     for at, value in ((3, 1.0), (5, 4.0), (1, 2.0)):
         tree.raise_to(at, value, at)
@@ -632,6 +797,17 @@ def test_chats_are_repaired_at_least_cost(spark, piece, monkeypatch):
     assert chat_format.formatted(df.limit(0)).count() == 0
 
 
+def test_odd_chats_as_in_sql(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(c or None, t or None, rng.choice(["user", "assistant", "system", " User", "tool", None]), rng.choice(["x", "y\nz", "", None])) for c in range(40) for t in range(rng.choice([3, 9, 30]))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    made = chat_format.op9_chat_format(spark, str(tmp_path))
+    found = Counter(tuple(r) for r in made.collect())
+    assert found == Counter(connection.sql(chat_format.ORACLE["op9_chat_format"]).fetchall())
+
+
 def test_legal_chats_stay(spark):
     df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "system", "be"), (2, 1, "user", "a"), (2, 2, "user", "b")], "conv_id long, turn long, role string, text string")
     text = defaultdict(str)
