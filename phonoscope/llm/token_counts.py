@@ -28,8 +28,8 @@ from phonoscope.llm.common import text_of, vectorized
 LIMIT = 512
 #: Characters of a chunk; characters of texts that are scanned together.
 CHUNK, SLICE = 128, 1 << 19
-#: States and words remembered in each Python worker before it starts afresh.
-STATES, WORDS = 1 << 18, 1 << 18
+#: States and words remembered in each Python worker before it starts afresh, and characters of the longest such word.
+STATES, WORDS, LONG_WORD = 1 << 18, 1 << 18, 64
 
 
 def default_path() -> str:
@@ -272,7 +272,8 @@ class WordCounter:
                 known += emitted
             if len(self.words) >= WORDS:
                 self.words.clear()
-            self.words[word] = known
+            if len(word) <= LONG_WORD:
+                self.words[word] = known
         return known
 
     def counts(self, texts: list[str]) -> list[int]:
