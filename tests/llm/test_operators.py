@@ -720,6 +720,35 @@ def test_passages_whose_pieces_stand_in_earlier_rows(spark):
     assert set(wanted.items()) <= found
 
 
+def test_seeds_lead_to_all_rows_before(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(passage_dedup, "ALL", 6)
+    rng = random.Random(27)
+    rows = sorted((h, -1 if h % 3 else rid % 2, rid, p) for h in range(40) for rid in rng.sample(range(12), rng.randrange(1, 10)) for p in rng.sample(range(50), rng.randrange(1, 3)))
+    for size in (1, 3, 1000):
+        batches = [pd.DataFrame(rows[k : k + size], columns=["h", "dealt", "rid", "p"]) for k in range(0, len(rows), size)]
+        led = [r for b in passage_dedup._led_to_all(iter(batches)) for r in b.itertuples(index=False) if r.led]
+        found = {(r.rid, r.p, *to) for r in led for to in ((r.least, r.least_p), (r.last, r.last_p))}
+        for h, d, rid, p in rows:
+            before = sorted({r for g, e, r, _ in rows if (g, e) == (h, d) and r < rid})
+            if d < 0 and len({r for g, _, r, _ in rows if g == h}) <= 6:
+                assert all(any((rid, p, r, q) in found for g, _, s, q in rows if (g, s) == (h, r)) for r in before)
+
+
+def test_passages_of_a_row_between_the_first_and_the_latest(spark):
+    rng = random.Random(28)
+    texts, wanted = [], set()
+    for _ in range(6):
+        part = words_of(rng, 60)
+        pieces = [" ".join([*words_of(rng, 50), *part[i : i + 12], *words_of(rng, 50)]) for i in range(0, 60, 12)]
+        whole = [" ".join([*words_of(rng, 50), *p, *words_of(rng, 50)]) for p in (part, fuzzy_copy(rng, part, 0.1))]
+        wanted.add((len(texts) + 11, len(texts) + 5))
+        texts += [*pieces, whole[0], *pieces, whole[1]]
+    found = {(r.id, r.first_id) for r in passage_dedup.passages(table(spark, texts)).collect()}
+    assert wanted <= found
+
+
 def test_chains_use_the_tree():
     line = [(x, x + 100) for x in range(0, 40, 4)]
     noise = [(10, 300), (22, 5), (30, 131)]
