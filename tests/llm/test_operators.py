@@ -193,6 +193,13 @@ def test_near_copies_with_a_line_repeated(spark):
     assert [r.doc_id for r in near_copies.drop_near_copies(table(spark, texts)).collect()] == [0]
 
 
+def test_sample_of_shingles_grows_with_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SAMPLED", 0)
+    shared = " ".join(words_of(random.Random(29), 40))
+    texts = table(spark, [f"{shared} {i}" for i in range(400)]).selectExpr("doc_id rid", "text")
+    assert len(near_copies._frequent(texts)[0])
+
+
 def test_near_copies_on_odd_rows(spark, odd):
     kept = near_copies.drop_near_copies(odd)
     assert kept.columns == odd.columns and 0 < kept.count() < odd.count()
