@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 from functools import lru_cache
 from zlib import crc32
 
@@ -36,8 +36,8 @@ WINDOW, QUOTED = 60, 0.4
 REPORTS = re.compile(r"\b(?:said|says|called|calls|quoted?|wrote|word|words|term|phrase|sagte|nannte|wort|dijo|llamó|palabra|dit|appelé|mot)\b")
 TOKEN = re.compile(r"[^\W_]+")
 _RUN = re.compile(r"(.)\1{2,}")
-#: Words whose reading is remembered in each Python worker, and states of the machine that are kept.
-REMEMBERED, STATES = 1 << 18, 1 << 15
+#: Words whose reading is remembered in each Python worker, the most characters of one, and states of the machine that are kept.
+REMEMBERED, LONG, STATES = 1 << 16, 64, 1 << 15
 
 
 def edits_for(term: str) -> int:
@@ -125,9 +125,10 @@ class Machine:
             for t, e in self.wholes[state]:
                 best[t] = min(e, best.get(t, 99))
             hits = tuple(sorted(best.items(), key=lambda h: (h[1], h[0])))
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            self.seen[word] = hits
+            if len(word) <= LONG:
+                if len(self.seen) >= REMEMBERED:
+                    self.seen.clear()
+                self.seen[word] = hits
         return hits
 
 
@@ -195,18 +196,29 @@ def _like(a: np.ndarray, b: np.ndarray) -> bool:
     return shared >= LIKE * (len(a) + len(b) - shared)
 
 
+def _counts(rows: list[tuple[bool, str]], only: Container[str] | None = None) -> tuple[int, Counter]:
+    """The number of texts that are unlike, and how many of them hold each whole word and stem (of `only`, if given)."""
+    size, held = 0, Counter()
+    for _, words in unlike(rows):
+        size += 1
+        terms = {w[:k] for w in words for k in range(STEM, min(len(w), LONGEST) + 1)} | {w + "$" for w in words}
+        held.update(terms if only is None else [t for t in terms if t in only])
+    return size, held
+
+
 def learn_lexicon(rows: Iterable[tuple[bool, str]]) -> list[str]:
     """Whole words (ending in $) and stems that toxic texts hold far more often than clean ones do.
 
     A term is chosen if its likelihood ratio statistic is significant among all that are tried, and of nested ones
     the one with the greatest; near copies of a text count once.
     """
-    seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    size: Counter = Counter()
-    for toxic, words in unlike(rows):
-        size[toxic] += 1
-        seen[toxic].update({w[:k] for w in words for k in range(STEM, min(len(w), LONGEST) + 1)} | {w + "$" for w in words})
-    bad, good, n, m = seen[True], seen[False], size[True], size[False]
+    of_class: dict[bool, list[tuple[bool, str]]] = {True: [], False: []}
+    for row in rows:
+        of_class[bool(row[0])].append(row)
+    n, bad = _counts(of_class.pop(True))
+    for t in [t for t, k in bad.items() if k < SUPPORT]:
+        del bad[t]
+    m, good = _counts(of_class.pop(False), bad)  # other terms are not tried, so their counts need no room
 
     def ratio(t: str) -> float:
         a, b = bad[t], good[t]
@@ -217,7 +229,7 @@ def learn_lexicon(rows: Iterable[tuple[bool, str]]) -> list[str]:
             total += (k * math.log(k / (of * p)) if k else 0.0) + ((of - k) * math.log((of - k) / (of * (1 - p))) if of > k else 0.0)
         return 2 * total
 
-    tried = sorted(((ratio(t), len(t), t) for t, k in bad.items() if k >= SUPPORT), reverse=True) if n and m else []
+    tried = sorted(((ratio(t), len(t), t) for t in bad), reverse=True) if n and m else []
     chosen: list[str] = []
     least = 2 * math.log(max(len(tried), 1) / FALSE)  # a statistic that so many terms of no effect reach about FALSE times in all
     for g, _, t in tried:
@@ -283,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     return {"terms": terms, "weights": weights, "w": w}
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _machine(terms: tuple[str, ...]) -> Machine:
     return Machine(list(terms))
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -295,6 +296,29 @@ def test_machine_forgets_states(monkeypatch):
     assert [few.read(w) for w in words] == wanted and len(few.sets) < len(whole.sets)
 
 
+def test_a_worker_remembers_short_words_and_one_machine(monkeypatch):
+    machine, plain = toxicity.Machine(["scumbag"]), toxicity.Machine(["scumbag"])
+    words = ["x" * 64, "x" * 65, "scumbag" + "x" * 5000, *(f"scumbag{k}" for k in range(50))]
+    wanted = [plain.read(w) for w in words]
+    monkeypatch.setattr(toxicity, "REMEMBERED", 10)
+    assert [machine.read(w) for w in words] == wanted and max(map(len, wanted)) == 1
+    assert len(machine.seen) <= 10 and max(map(len, plain.seen)) == 64
+    for terms in (["idiot$"], ["clown$"], ["loser$"]):
+        toxicity.score_text("a clown", {"terms": terms, "weights": {}, "w": [0.0, 0.0, 0.0, 0.0]})
+    assert toxicity._machine.cache_info().currsize == 1
+
+
+def test_the_lexicon_holds_no_counts_of_terms_that_only_clean_texts_have():
+    rng = random.Random(43)
+    clean = [(False, " ".join("".join(rng.choice("abcdefghij") for _ in range(12)) for _ in range(60))) for _ in range(300)]
+    rows = clean + [(True, f"{text} nastyword") for _, text in clean[:40]]
+    tracemalloc.start()
+    found = toxicity.learn_lexicon(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert any(t.startswith("nast") for t in found) and peak < 8 << 20, peak
+
+
 def test_toxicity_against_a_plain_scorer(spark):
     labels = spark.read.parquet(f"{SIZE}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.train(spark.read.parquet(f"{SIZE}/documents.parquet").select("doc_id", "text"), labels)
