@@ -705,6 +705,90 @@ def test_many_alignments_at_once():
             assert passage_dedup.may_hold(a, b)
 
 
+def plain_alignment(a, b):
+    """(score, from, to, from there, to there, equal words) of the best local alignment in the band, cell by cell."""
+    low, width = min(0, len(b) - len(a)) - passage_dedup.BAND, 2 * passage_dedup.BAND + abs(len(b) - len(a)) + 1
+    none, best = (0, 0, 0, 0), (0,)
+    last = [none] * (width + 1)
+    for i, x in enumerate(a):
+        row = []
+        for c in range(width):
+            j = i + low + c
+            if not 0 <= j < len(b):
+                row.append(none)
+                continue
+            score, *begun, equal = last[c] if last[c][0] > 0 else (0, i, j, 0)
+            ways = [(score + 1, *begun, equal + 1) if x == b[j] else (score - 2, *begun, equal), (last[c + 1][0] - 2, *last[c + 1][1:]), none]
+            ways += [(row[-1][0] - 2, *row[-1][1:])] if row else []
+            row.append(max(ways, key=lambda w: w[0]))
+            if row[-1][0] > best[0]:
+                best = (row[-1][0], row[-1][1], i + 1, row[-1][2], j + 1, row[-1][3])
+        last = [*row, none]
+    return best
+
+
+def long_pairs():
+    for seed in range(1, 8):
+        rng = random.Random(seed + 4)
+        part = [rng.choice("abcdefgh") + rng.choice("abcdefgh") for _ in range(420)]
+        copy = []
+        for w in part:
+            r = rng.random()
+            copy += [] if r < 0.04 else [rng.choice(part) if r < 0.08 else w] + [rng.choice(part)] * (r > 0.96)
+        yield tuple((passage_dedup.word_codes(" ".join(words)) >> np.uint64(32)).astype(np.uint32) for words in (part, copy))
+
+
+def test_long_sides_are_aligned_together_and_exactly(monkeypatch):
+    import pandas as pd
+
+    calls, many = [], passage_dedup.align_many
+    monkeypatch.setattr(passage_dedup, "align_many", lambda group: calls.append(len(group)) or many(group))
+    monkeypatch.setattr(passage_dedup, "align", None)  # none is aligned alone
+    pairs = list(long_pairs())
+    zeros = [0] * len(pairs)
+    got = passage_dedup._aligned_of(*(pd.Series(x) for x in (zeros, [4] * len(pairs), zeros, [5] * len(pairs), [a.tobytes() for a, _ in pairs], [b.tobytes() for _, b in pairs])))
+    for (a, b), r in zip(pairs, got.itertuples(), strict=True):
+        _, start, stop, first, end, equal = plain_alignment(a.tolist(), b.tolist())
+        assert (r.start, r.stop, r.first_start, r.first_stop) == (start, stop, first, end) and r.similarity == pytest.approx(equal / max(stop - start, end - first))
+    assert sum(calls) == len(pairs) and len(calls) <= 3
+    assert all(passage_dedup.may_hold(a, b) for a, b in pairs) and not passage_dedup.may_hold(pairs[0][0], pairs[0][0] + np.uint32(1))
+
+
+def test_groups_of_alignments_stay_bounded(monkeypatch):
+    monkeypatch.setattr(passage_dedup, "SIDES", 1 << 12)
+    rng = random.Random(30)
+    later = [(k, *(np.zeros(n + rng.randrange(20), dtype=np.uint32) for n in [rng.choice([60, 100, 300, 3000, 30000])] * 2)) for k in range(400)]
+    groups = list(passage_dedup._together(later))
+    assert sorted(r[0] for g in groups for r in g) == list(range(400)) and max(map(len, groups)) == 4096 // 128
+    assert all(len(g) == 1 or sum(len(r[1]) for r in g) <= 4096 for g in groups)
+
+
+def test_words_and_seeds_of_many_texts_at_once(monkeypatch):
+    rng = random.Random(29)
+    letters = ["a", "B", "b", "é", "É", "\x00", "\u3000", "\ud800", "x" * 7, "y" * 8, "z" * 40]
+    texts = ["", " \t", " ".join(["one two three four five six seven eight"] * 30), "w" * 1000 + " v"]
+    for n in [0, 3, 49, 50, 51, 400] * 6:
+        some = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(n // 2 + 1)]
+        texts.append(rng.choice(["", "\n "]) + "".join(rng.choice(some) + rng.choice([" ", "\t", " \r\n", "\x0b", "\x0c "]) for _ in range(n)))
+    words = [t.encode("utf-8", "replace").lower().split() for t in texts]
+    codes, bounds = passage_dedup.codes_of(texts)
+    assert np.diff(bounds).tolist() == [len(w) for w in words] and len(codes) == bounds[-1]
+    named = dict(zip((w for own in words for w in own), codes.tolist(), strict=False))
+    assert [named[w] for own in words for w in own] == codes.tolist() and len(set(named.values())) == len(named)
+    owner, keys, places = (x.tolist() for x in passage_dedup.seeds_of(codes, bounds))
+    for k, own in enumerate(words):
+        alone = passage_dedup.word_codes(texts[k])
+        assert alone.tolist() == codes[bounds[k] : bounds[k + 1]].tolist()
+        found = sorted((h, p) for o, h, p in zip(owner, keys, places, strict=True) if o == k)
+        assert found == sorted(zip(*(x.tolist() for x in passage_dedup.seeds(alone)), strict=True)) and (found != []) == (len(own) >= 50)
+        runs, at = [tuple(own[i : i + 4]) for i in range(len(own) - 3)], sorted({p for _, p in found})
+        assert not at or at[0] < 8 and at[-1] >= len(runs) - 8 and max(np.diff(at), default=0) <= 8  # each window has one
+        assert len({h for h, _ in found}) == len(at)  # the k-th occurrence has a seed of its own
+    monkeypatch.setattr(passage_dedup, "TEXT", 1000)
+    cuts = list(passage_dedup._at_once(texts))
+    assert [k for a, b in cuts for k in range(a, b)] == list(range(len(texts))) and all(b - a == 1 or sum(map(len, texts[a:b])) <= 1000 for a, b in cuts)
+
+
 def test_seeds_lead_to_the_first_and_the_last_before():
     import pandas as pd
 
